@@ -36,8 +36,11 @@ def base_asset(symbol: Column) -> Column:
 
 
 def word_pattern(phrases: Sequence[str]) -> str:
-    """Case-insensitive whole-word pattern of any phrase (letters and spaces only)."""
-    return r"(?i)\b(" + "|".join(phrases) + r")\b"
+    """Case-insensitive whole-word pattern of any phrase (letters and spaces only).
+
+    The U flag makes the word boundary know accented letters: no "eth" in "éthé".
+    """
+    return r"(?iU)\b(" + "|".join(phrases) + r")\b"
 
 
 def tags(text: Column, groups: Mapping[str, Sequence[str]]) -> Column:
