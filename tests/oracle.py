@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import duckdb
 
@@ -72,8 +73,10 @@ def types_of(df):
 
 def check(spark, sf, name, fn, sql, con=None):
     con = con or connect(sf)
+    t0 = time.time()
     df = fn(spark, sf)
     got = df.collect()
+    check.spark_sec = time.time() - t0
     rel = con.execute(sql)
     want_cols = [d[0] for d in rel.description]
     return compare(df.columns, got, want_cols, rel.fetchall()), len(got)

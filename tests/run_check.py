@@ -40,7 +40,7 @@ def main():
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         bad += tag in ("FAIL", "ERR ")
-        print(f"{tag} {n:28s} {k:7d} rows {time.time() - t0:6.2f}s {msg or ''}", flush=True)
+        print(f"{tag} {n:28s} {k:7d} rows {time.time() - t0:6.2f}s (spark {getattr(check, 'spark_sec', 0):5.2f}) {msg or ''}", flush=True)
     print("bad:", bad)
 
 

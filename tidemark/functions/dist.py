@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TINY = 1e-300
 
@@ -107,7 +108,7 @@ def _vector(fn):
         out[ok.to_numpy()] = [fn(float(a), float(b)) for a, b in zip(x[ok], k[ok])]
         return pd.Series(out)
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, DoubleType())
 
 
 t_p_value = _vector(t_two_sided)

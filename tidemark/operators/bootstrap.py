@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.session import settle
+
 KEY = "symbol"
 
 
@@ -28,7 +30,8 @@ def block_bootstrap(
     only adds block totals. The work per draw is spread over (symbol, draw).
     """
     labels = [str(h) for h in horizons] + ["pooled"]
-    d = daily.filter(F.col("variant").isin(a, b) & F.col("horizon").isin(*horizons))
+    # The daily table is read several times below and is small: compute it once.
+    d = settle(daily.filter(F.col("variant").isin(a, b) & F.col("horizon").isin(*horizons)))
 
     def total(v, src):
         return F.sum(F.when(F.col("variant") == v, F.col(src)).otherwise(0))

@@ -22,7 +22,7 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int =
     """(keys, value, n, below): rows with this value, and rows of the key with a smaller one."""
     if not keys:
         raise ValueError("ordered_counts needs at least one key column")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = settle(counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts")))
     rng = F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_rng")

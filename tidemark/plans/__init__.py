@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "evaluation", "joins"]
+MODULES = ["features", "evaluation", "joins", "stats"]
 
 
 def load():

@@ -11,6 +11,7 @@ from tidemark.operators.blocks import BLOCK_ROWS, block_window, from_micros, ful
 from tidemark.plans.features import TARGETS, r, rounded
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, RETS, full as sfull, with_
+from tidemark.session import settle
 
 MIN_TRAIN, TEST, PURGE = 10 * T.DAY, 5 * T.DAY, 12
 HS = Y.HORIZONS
@@ -366,8 +367,8 @@ rp AS (SELECT symbol, axis, horizon, bucket, sum(n) AS n, count(DISTINCT fold) A
 
 
 def regime_rows(spark, sf):
-    d = predicted(spark, sf)
-    folds = folds_of(T.bars(spark, sf))
+    d = settle(predicted(spark, sf))
+    folds = settle(folds_of(d))
     te = S.with_test_fold(d, folds, MIN_TRAIN, TEST)
     out = None
     for ax in ("vol_level", "vol_accel"):
