@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["features", "evaluation", "joins", "stats", "gates", "news", "models"]
+MODULES = ["features", "evaluation", "joins", "stats", "gates", "news", "models", "streams"]
 
 
 def load():

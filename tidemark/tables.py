@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.blocks import from_micros, micros
-from tidemark.session import prepare
+from tidemark.session import prepare  # noqa: F401  (re-exported for plans)
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
