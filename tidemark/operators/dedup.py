@@ -9,7 +9,7 @@ Similarity is TF-IDF cosine. The answer is that of walking the items in order, f
 3. Large groups of near copies are folded before pairs are made: an item similar to the first item
    of one of its term lists is *parked* under it. This is linear in the lists.
 4. The first-come rule is resolved on the remaining similarity graph, in rounds.
-5. A parked item whose leader was dropped is compared with the kept items; if none is similar, it
+5. A parked item whose leader was not kept is compared with the kept items; if none is similar, it
    returns to the graph and step 4 is repeated. When none returns, the kept set satisfies the rule
    for every item, and there is only one such set.
 """
@@ -171,7 +171,8 @@ def drop_near_duplicates(
         if parked is None:
             break
         kept_post = post.join(dropped, "ord", "left_anti")
-        lost = parked.join(dropped.select(F.col("ord").alias("lo")), "lo", "left_semi").select("hi").distinct()
+        kept = kept_post.select(F.col("ord").alias("lo")).distinct()
+        lost = parked.select("hi").distinct().join(parked.join(kept, "lo", "left_semi").select("hi").distinct(), "hi", "left_anti")
         q = lists.join(lost.select(F.col("hi").alias("ord")), "ord", "left_semi")
         near = q.select(F.col("ord").alias("hi"), "term").join(kept_post.select(F.col("ord").alias("lo"), "term"), "term")
         near = verified(near.filter("lo < hi").select("lo", "hi").distinct(), vec, threshold)

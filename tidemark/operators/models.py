@@ -61,34 +61,49 @@ def with_vector(df: DataFrame, names: list[str], out: str = "vec") -> DataFrame:
     return VectorAssembler(inputCols=parts, outputCol=out).transform(d).drop(*parts)
 
 
-def fit_horizons(train: DataFrame, horizons, vec: str = "vec", weight: str | None = None, **params) -> dict:
+class PointModel:
+    """A boosted model of a target in units of its train mean absolute value.
+
+    Spark's absolute loss fits trees to residual *signs*, so a step only makes sense for a target of
+    unit size; predictions are scaled back.
+    """
+
+    def __init__(self, model, scale: float, out: str):
+        self.model, self.scale, self.out = model, scale, out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.setPredictionCol(self.out).transform(df).withColumn(self.out, F.col(self.out) * self.scale)
+
+
+def fit_horizons(train: DataFrame, horizons, vec: str = "vec", weight: str | None = None, **params) -> dict[int, PointModel]:
     """One L1-loss boosted model per horizon; rows without that horizon's target are left out."""
     from pyspark.ml.regression import GBTRegressor
 
     models = {}
+    sizes = train.agg(*[F.avg(F.abs(f"r_{h}")).alias(f"r_{h}") for h in horizons]).first()
     for h in horizons:
-        gbt = GBTRegressor(
-            featuresCol=vec, labelCol=f"r_{h}", predictionCol=f"r_{h}_pred", lossType="absolute", **{**POINT, **params}
-        )
+        scale = float(sizes[f"r_{h}"] or 1.0)
+        gbt = GBTRegressor(featuresCol=vec, labelCol="_label", lossType="absolute", **{**POINT, **params})
         if weight:
             gbt = gbt.setWeightCol(weight)
-        models[h] = gbt.fit(train.filter(F.col(f"r_{h}").isNotNull()))
+        rows = train.filter(F.col(f"r_{h}").isNotNull()).withColumn("_label", F.col(f"r_{h}") / scale)
+        models[h] = PointModel(gbt.fit(rows), scale, f"r_{h}_pred")
     return models
 
 
-def predict_horizons(models: Mapping, df: DataFrame) -> DataFrame:
-    for h, m in models.items():
-        df = m.setPredictionCol(f"r_{h}_pred").transform(df)
+def predict_horizons(models: Mapping[int, PointModel], df: DataFrame) -> DataFrame:
+    for m in models.values():
+        df = m.transform(df)
     return df
 
 
-def prefix_predictions(model, df: DataFrame, steps, out: str) -> DataFrame:
+def prefix_predictions(point: PointModel, df: DataFrame, steps, out: str) -> DataFrame:
     """Predictions of the first k trees for every k in ``steps``, from one fit."""
     raw = []
-    for i, t in enumerate(model.trees[: max(steps)]):
+    for i, t in enumerate(point.model.trees[: max(steps)]):
         raw.append(f"_t{i}")
         df = t.setPredictionCol(raw[-1]).transform(df)
-    w = model.treeWeights
+    w = [x * point.scale for x in point.model.treeWeights]
     cols = {f"{out}_{k}": sum((F.col(c) * w[i] for i, c in enumerate(raw[:k])), F.lit(0.0)) for k in steps}
     return df.withColumns(cols).drop(*raw)
 
@@ -118,8 +133,8 @@ def fit_quantile(train: DataFrame, target: str, q: float, vec: str = "vec", **pa
 
     Each round fits a regression tree to the loss gradient (q above the current forecast, q - 1 below)
     and gives every leaf the q-quantile of its residuals. Leaf values are at most 2^depth numbers; they
-    are the only thing that visits the driver. The forecast column is checkpointed each round, so the
-    plan does not grow with the trees.
+    are the only thing that visits the driver. The forecast column is written each round, so the plan
+    does not grow with the trees.
     """
     from pyspark.ml.regression import DecisionTreeRegressor
 
@@ -143,9 +158,9 @@ def fit_quantile(train: DataFrame, target: str, q: float, vec: str = "vec", **pa
     return model
 
 
-def importances(model, names: list[str], **labels) -> list[dict]:
+def importances(point: PointModel, names: list[str], **labels) -> list[dict]:
     """Gain shares per feature, a feature's indicator slot counted with it."""
-    v = model.featureImportances.toArray()
+    v = point.model.featureImportances.toArray()
     n = len(names)
     return [{**labels, "feature": f, "gain": float(v[i] + v[n + i])} for i, f in enumerate(names)]
 
@@ -223,8 +238,12 @@ def export_models(models: Mapping, path: str, symbol: str, names: list[str], ver
 
     spark = SparkSession.getActiveSession()
     for h, m in models.items():
-        m.write().overwrite().save(f"{path}/{symbol}/h{h}")
-    row = spark.createDataFrame([(symbol, version, list(names), sorted(models), n_rows)], "symbol string, model_version string, feature_columns array<string>, horizons array<int>, n_rows long")
+        m.model.write().overwrite().save(f"{path}/{symbol}/h{h}")
+    scales = {str(h): m.scale for h, m in models.items()}
+    row = spark.createDataFrame(
+        [(symbol, version, list(names), sorted(models), scales, n_rows)],
+        "symbol string, model_version string, feature_columns array<string>, horizons array<int>, target_scale map<string,double>, n_rows long",
+    )
     row = row.withColumn("schema_version", schema_version(F.col("feature_columns")))
     if baseline is not None:
         b = baseline.groupBy("symbol").agg(F.collect_list(F.struct("feature", "mean", "std", "bin_edges", "bin_fractions")).alias("feature_baseline"))

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.blocks import floor_div
+from tidemark.session import settle
 from tidemark.tables import DAY
 
 KEY = "symbol"
@@ -36,7 +37,7 @@ def fold_table(
     and begins at the first row, or ``max_train_us`` before the test window. Folds without train or
     test rows are left out and take no number.
     """
-    span = spans(rows)
+    span = settle(spans(rows))
     d = rows.select(KEY, "t").join(span, KEY)
     origin = F.col("first_t") + F.lit(min_train_us)
     n = floor_div(F.col("last_t") - origin + F.lit(test_us - 1), test_us)
@@ -68,10 +69,11 @@ def fold_table(
     )
     out = out.filter("slot >= 0 and n_test > 0 and n_train > 0")
     fold = F.row_number().over(W.partitionBy(KEY).orderBy("slot")) - 1
-    return out.select(
+    # A handful of rows per symbol that every later step joins: written once, broadcast by its size.
+    return settle(out.select(
         KEY, fold.alias("fold"), "slot", "test_start", "test_end", "train_pos", "train_end_pos", "test_pos", "n_train", "n_test",
         "first_t",
-    )
+    ))
 
 
 def with_test_fold(rows: DataFrame, folds: DataFrame, min_train_us: int, test_us: int) -> DataFrame:

@@ -114,12 +114,12 @@ def kruskal(df: DataFrame, keys: Sequence[str], value: str, group: str) -> DataF
         F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties")
     )
     h = sums.join(tot, [*keys]).groupBy(*keys, "n", "ties").agg(
-        F.sum(F.col("rs") ** 2 / F.col("ng")).alias("q"), F.count(F.lit(1)).alias("k")
+        F.sum(F.col("rs") ** 2 / F.col("ng")).alias("q"), F.count(F.lit(1)).alias("_groups")
     )
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     return h.select(
         *keys, (raw / F.nullif(1 - F.col("ties") / (n**3 - n), F.lit(0.0))).alias("h"),
-        (F.col("k") - 1).alias("dof"), n.cast("long").alias("n"),
+        (F.col("_groups") - 1).alias("dof"), n.cast("long").alias("n"),
     )
 
 

@@ -368,7 +368,7 @@ rp AS (SELECT symbol, axis, horizon, bucket, sum(n) AS n, count(DISTINCT fold) A
 
 def regime_rows(spark, sf):
     d = settle(predicted(spark, sf))
-    folds = settle(folds_of(d))
+    folds = folds_of(d)
     te = S.with_test_fold(d, folds, MIN_TRAIN, TEST)
     out = None
     for ax in ("vol_level", "vol_accel"):

@@ -27,7 +27,7 @@ def model_data(spark, sf, variants):
     for v, cols in variants.items():
         d = MO.with_vector(d, cols, v)
     d = settle(d.select("symbol", "t", "pos", "ret_std_144", "r_1", "r_6", "r_12", *variants))
-    return d, settle(S.fold_table(d, PE.MIN_TRAIN, PE.TEST, PE.PURGE))
+    return d, S.fold_table(d, PE.MIN_TRAIN, PE.TEST, PE.PURGE)
 
 
 @query("walkforward_gbt")

@@ -170,7 +170,7 @@ def _body_sql(col="html"):
     for tag in H.DROPPED:
         t = f"regexp_replace({t}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
     p = f"regexp_extract_all({t}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1)"
-    c = f"list_filter(list_transform({p}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: x <> '')"
+    c = f"list_filter(list_transform({p}, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: x <> '')"
     x = f"array_to_string({c}, chr(10))"
     for name, ch in H.ENTITIES:
         x = f"replace({x}, '{name}', '{ch.replace(chr(39), chr(39) * 2)}')"

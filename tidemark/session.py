@@ -65,6 +65,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df):
-    """Cut the lineage of ``df`` through the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once: write it to the shared folder and go on from the written table.
+
+    This cuts the lineage, survives lost executors, and gives the planner the table's true size: a
+    later join broadcasts it only if it is really below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,7 +43,9 @@ def body_text(html: Column) -> Column:
     for tag in DROPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
     paras = F.regexp_extract_all(t, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"), F.lit(1))
-    clean = F.transform(paras, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"<[^>]*>", " "), r"[ \t\r\n]+", " ")))
+    # A line break separates words, other inline tags do not.
+    plain = F.transform(paras, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?i)<br\s*/?>", " "), r"<[^>]*>", ""))
+    clean = F.transform(plain, lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\n]+", " ")))
     return unescape(F.array_join(F.filter(clean, lambda p: p != ""), "\n"))
 
 
