@@ -5,7 +5,8 @@ Similarity is TF-IDF cosine. The answer is that of walking the items in order, f
 1. Items with the same token multiset collapse to the first; the copies only count in the IDF.
 2. Prefix filter: with terms in one global order (rare first), two vectors of cosine >= threshold
    share a term before the point where the rest of either vector is shorter than the threshold. Only
-   those prefix terms make candidates, so no pair is lost.
+   those head terms make pairs, and a bound on the rest discards most of them before the full
+   cosine is taken, so no pair is lost and few are computed.
 3. Large groups of near copies are folded before pairs are made: an item similar to the first item
    of one of its term lists is *parked* under it. This is linear in the lists.
 4. The first-come rule is resolved on the remaining similarity graph, in rounds.
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.operators.upserts import first_per_key
 from tidemark.session import settle
 
 # Similarity bar and token shape (runs of two or more word characters).
 THRESHOLD = 0.85
+HEAD = 0.88  # length of the tail left out of the lists, as a share of the threshold
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -51,16 +53,39 @@ def weights(reps: DataFrame, n_docs: int) -> DataFrame:
     return w.join(norm, "ord").select("ord", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def prefixes(vec: DataFrame, threshold: float) -> DataFrame:
-    """(ord, term) of the terms whose remaining vector, themselves included, can reach the threshold."""
-    from pyspark.sql import Window as W
+def prefixes(vec: DataFrame, bound: float) -> DataFrame:
+    """(ord, term, w, s): the rare-first head of every vector, ``s`` is the length of what is left.
 
+    The head ends where the rest of the vector is shorter than ``bound``. Any bound below the
+    threshold loses no pair; a smaller one gives longer lists and a sharper test in ``candidates``.
+    """
     rest = W.partitionBy("ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        vec.withColumn("left", F.sum(F.col("w") ** 2).over(rest))
-        .filter(F.col("left") >= threshold * threshold - 1e-9)
-        .select("ord", "term")
-    )
+    d = vec.withColumn("left", F.sum(F.col("w") ** 2).over(rest))
+    tail = F.col("left") < bound * bound - 1e-9
+    # Running sums grow towards the rare end: the largest one below the bound is the tail's square.
+    s = F.sqrt(F.coalesce(F.max(F.when(tail, F.col("left"))).over(W.partitionBy("ord")), F.lit(0.0)))
+    return d.withColumn("s", s).filter(~tail).select("ord", "term", "w", "s")
+
+
+def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (lo, hi) of an item of ``a`` and one of ``b`` that can still reach the threshold.
+
+    With p the product over shared head terms, the rest is at most the tail of the item whose head
+    ends first times what the other item has left after the shared terms.
+    """
+    x = a.select(F.col("ord").alias("x"), "term", F.col("w").alias("wx"), F.col("s").alias("sx"))
+    y = b.select(F.col("ord").alias("y"), "term", F.col("w").alias("wy"), F.col("s").alias("sy"))
+    g = x.join(y, "term").filter("x <> y").groupBy("x", "y").agg(
+        F.sum(F.col("wx") * F.col("wy")).alias("p"), F.sum(F.col("wx") ** 2).alias("mx"), F.sum(F.col("wy") ** 2).alias("my"),
+        F.max("sx").alias("sx"), F.max("sy").alias("sy"),
+    )
+
+    def left(m):
+        return F.sqrt(F.greatest(1 - F.col(m), F.lit(0.0)))
+
+    best = F.col("p") + F.greatest(F.col("sx") * left("my"), F.col("sy") * left("mx"))
+    ok = g.filter(best >= threshold - 1e-9)
+    return ok.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
 
 
 def verified(cands: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
@@ -155,17 +180,14 @@ def drop_near_duplicates(
     copies = d.filter("not empty").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
     reps = first_per_key(d.filter("not empty"), ["sig"], ["ord"]).join(copies, "sig")
     vec = settle(weights(reps, n_docs))
-    lists = settle(prefixes(vec, threshold))
+    lists = settle(prefixes(vec, HEAD * threshold))
 
     post, parked = park(lists, vec, threshold, pair_budget)
     edges = None
     fresh = post
     while True:
         # Pairs of the items that are new in the graph with everything in it.
-        a = post.select(F.col("ord").alias("x"), "term")
-        b = fresh.select(F.col("ord").alias("y"), "term")
-        c = a.join(b, "term").filter("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-        new = verified(c.distinct(), vec, threshold)
+        new = verified(candidates(fresh, post, threshold), vec, threshold)
         edges = settle(new if edges is None else edges.unionByName(new))
         dropped = first_come(edges)
         if parked is None:
@@ -174,8 +196,8 @@ def drop_near_duplicates(
         kept = kept_post.select(F.col("ord").alias("lo")).distinct()
         lost = parked.select("hi").distinct().join(parked.join(kept, "lo", "left_semi").select("hi").distinct(), "hi", "left_anti")
         q = lists.join(lost.select(F.col("hi").alias("ord")), "ord", "left_semi")
-        near = q.select(F.col("ord").alias("hi"), "term").join(kept_post.select(F.col("ord").alias("lo"), "term"), "term")
-        near = verified(near.filter("lo < hi").select("lo", "hi").distinct(), vec, threshold)
+        near = verified(candidates(kept_post, q, threshold).join(lost, "hi", "left_semi"), vec, threshold)
+        near = near.join(kept, "lo", "left_semi")
         back = settle(lost.join(near, "hi", "left_anti"))
         if back.isEmpty():
             break
