@@ -92,18 +92,18 @@ def near_copies():
     words = [f"w{i}" for i in range(60)]
     base = [list(rng.choice(words, 12)) for _ in range(12)]
     texts = []
-    for i in range(180):
+    for i in range(120):
         # A third of all texts are near copies of the first base text.
         b = list(base[0] if i % 3 == 0 else base[rng.integers(0, 12)])
         for _ in range(rng.integers(0, 4)):
             b[rng.integers(0, len(b))] = rng.choice(words)
         texts.append(" ".join(b))
-    texts[5] = texts[90] = "!!"  # no tokens: always stay
+    texts[5] = texts[80] = "!!"  # no tokens: always stay
     texts[17] = texts[2]
     return texts
 
 
-@pytest.mark.parametrize("budget", [10**9, 1, 0])
+@pytest.mark.parametrize("budget", [10**9, 12])
 def test_near_duplicates_equal_the_greedy_walk(spark, budget):
     texts = near_copies()
     d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")

@@ -113,15 +113,15 @@ def pair_load(post: DataFrame) -> tuple[int, int]:
     return row["pairs"], row["entries"]
 
 
-def park(post: DataFrame, vec: DataFrame, threshold: float, budget: int) -> tuple[DataFrame, DataFrame | None]:
+def park(lists: DataFrame, vec: DataFrame, threshold: float, budget: int) -> tuple[DataFrame, DataFrame | None]:
     """Fold near copies under the first item of a shared term list until few enough pairs remain.
 
     Returns the active (ord, term) lists and the (hi, lo) parking table. Each round takes the next
     item of every list as leader, so it always gets on; the loop ends at the latest when every list
     has had all its items as leaders.
     """
-    parked = None
-    led = None
+    parked = led = None
+    post = lists
     while True:
         pairs, entries = pair_load(post)
         if pairs <= budget * max(entries, 1):
@@ -130,13 +130,10 @@ def park(post: DataFrame, vec: DataFrame, threshold: float, budget: int) -> tupl
         leaders = settle(fresh.groupBy("term").agg(F.min("ord").alias("lo")))
         if leaders.isEmpty():
             return post, parked
-        cands = (
-            post.join(leaders, "term").filter("ord > lo").select("lo", F.col("ord").alias("hi")).distinct()
-        )
-        new = verified(cands, vec, threshold).groupBy("hi").agg(F.min("lo").alias("lo"))
-        new = settle(new)
+        cands = post.join(leaders, "term").filter("ord > lo").select("lo", F.col("ord").alias("hi")).distinct()
+        new = settle(verified(cands, vec, threshold).groupBy("hi").agg(F.min("lo").alias("lo")))
         parked = new if parked is None else parked.unionByName(new)
-        post = settle(post.join(new.select(F.col("hi").alias("ord")), "ord", "left_anti"))
+        post = lists.join(parked.select(F.col("hi").alias("ord")), "ord", "left_anti")
         done = leaders.select("term", F.col("lo").alias("ord"))
         led = done if led is None else led.unionByName(done)
 
@@ -144,22 +141,20 @@ def park(post: DataFrame, vec: DataFrame, threshold: float, budget: int) -> tupl
 def first_come(edges: DataFrame) -> DataFrame:
     """Dropped items of the similarity graph ``edges`` (lo earlier than hi) under the first-come rule.
 
-    An item without an undecided earlier neighbour is kept, its later neighbours are dropped.
+    An item without an undecided earlier neighbour is kept, its later neighbours are dropped. Each
+    round is one job that writes the edges with what it decided; the edges shrink from round to round.
     """
-    spark = edges.sparkSession
-    dropped = spark.createDataFrame([], "ord long")
-    e = settle(edges)
+    e, dropped = edges, None
     while not e.isEmpty():
-        safe = e.select(F.col("lo").alias("ord")).distinct().join(
-            e.select(F.col("hi").alias("ord")).distinct(), "ord", "left_anti"
-        )
-        hit = settle(e.join(safe.withColumnRenamed("ord", "lo"), "lo", "left_semi").select(F.col("hi").alias("ord")).distinct())
-        dropped = dropped.unionByName(hit)
-        gone = hit.unionByName(safe)
-        e = settle(
-            e.join(hit.withColumnRenamed("ord", "hi"), "hi", "left_anti").join(gone.withColumnRenamed("ord", "lo"), "lo", "left_anti")
-        )
-    return settle(dropped.distinct())
+        later = e.select(F.col("hi").alias("lo")).distinct().withColumn("_later", F.lit(True))
+        d = e.join(later, "lo", "left").select("lo", "hi", F.col("_later").isNull().alias("safe"))
+        hit = d.filter("safe").select("hi").distinct().withColumn("_hit", F.lit(True))
+        d = d.join(hit, "hi", "left").join(hit.select(F.col("hi").alias("lo"), F.col("_hit").alias("_gone")), "lo", "left")
+        d = settle(d.select("lo", "hi", "safe", (~F.col("safe") & F.col("_hit").isNull() & F.col("_gone").isNull()).alias("open")))
+        won = d.filter("safe").select(F.col("hi").alias("ord"))
+        dropped = won if dropped is None else dropped.unionByName(won)
+        e = d.filter("open").select("lo", "hi")
+    return edges.select(F.col("hi").alias("ord")).limit(0) if dropped is None else dropped.distinct()
 
 
 def drop_near_duplicates(
@@ -189,7 +184,7 @@ def drop_near_duplicates(
         # Pairs of the items that are new in the graph with everything in it.
         new = verified(candidates(fresh, post, threshold), vec, threshold)
         edges = settle(new if edges is None else edges.unionByName(new))
-        dropped = first_come(edges)
+        dropped = settle(first_come(edges))
         if parked is None:
             break
         kept_post = post.join(dropped, "ord", "left_anti")

@@ -483,3 +483,66 @@ def grid_todo(spark, sf):
         planned = planned.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     done = tr.filter((F.col("symbol") == "signup") & (F.col("qty") > 340)).select(fold).distinct()
     return todo(planned, done, ["fold"]).select("window", "scale", "fold")
+
+
+# --- re-scoring and per-horizon comparison -------------------------------------------------------------------
+@query(
+    "rescore_compare",
+    with_(BARS, TARGETS, PJ.NEWS, PJ.DECAY, PJ.DECAY.replace("dc AS", "dc2 AS").replace("dg AS", "dg2 AS").replace("FROM dc ", "FROM dc2 ").replace("n.pos - n.neg AS s", "n.pos * n.pos - n.neg * n.neg AS s"))
+    + f"""SELECT 'first' AS scorer, t.symbol, count(*) AS n, {r_('avg(sentiment_weighted)', 'mean_sentiment', 7)}, {r_('corr(sentiment_weighted, r_6)', 'corr_r_6', 7)} FROM tg t JOIN dg USING (symbol, ts) WHERE r_6 IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'second', t.symbol, count(*), {r_('avg(sentiment_weighted)', 'mean_sentiment', 7)}, {r_('corr(sentiment_weighted, r_6)', 'corr_r_6', 7)} FROM tg t JOIN dg2 USING (symbol, ts) WHERE r_6 IS NOT NULL GROUP BY 2""",
+)
+def rescore_compare(spark, sf):
+    """The same plan under two scorers, nothing written back: does the signal follow the scorer?"""
+    t = Y.targets(T.bars(spark, sf), (6,)).filter("r_6 is not null").select("symbol", "t", "r_6")
+    news = PJ.news_items(spark, sf)
+    pos, neg = F.col("sentiment_pos"), F.col("sentiment_neg")
+    out = None
+    for name, items in (("first", news), ("second", news.withColumns({"sentiment_pos": pos * pos, "sentiment_neg": neg * neg}))):
+        ev = {k: F.array_contains("kinds", k) for k in PJ.WORDS}
+        d = N.decay_features(items, T.bars(spark, sf), ["symbol"], T.HOUR, ev).join(t, ["symbol", "t"])
+        d = d.groupBy(F.lit(name).alias("scorer"), "symbol").agg(
+            F.count(F.lit(1)).alias("n"), (F.round(F.avg("sentiment_weighted"), 7) + 0.0).alias("mean_sentiment"),
+            (F.round(F.corr("sentiment_weighted", "r_6"), 7) + 0.0).alias("corr_r_6"),
+        )
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(
+    "candidate_vs_production",
+    PE.PT
+    + f""", g AS (SELECT symbol, horizon, variant, {PE.POOL.format(m='mae')} AS mae, {PE.POOL.format(m='directional_accuracy')} AS da FROM pf WHERE n_test > 0 GROUP BY ALL)
+    SELECT c.symbol, c.horizon, {r_('c.mae', 'mae')}, {r_('p.mae', 'production_mae')}, {r_('c.mae - p.mae', 'mae_delta')}, {r_('c.da - p.da', 'da_delta')}
+    FROM g c LEFT JOIN g p ON p.symbol = c.symbol AND p.horizon = c.horizon AND p.variant = 'a' AND p.horizon <= 6 WHERE c.variant = 'b'""",
+)
+def candidate_vs_production(spark, sf):
+    """Candidate metrics per horizon beside production's, which serves only the first six horizons."""
+    ms = ["mae", "directional_accuracy"]
+    p = settle(E.pool(PE.point_folds_df(spark, sf), ms, ["symbol", "variant", "horizon"]))
+    prod = p.filter("variant = 'a' and horizon <= 6").select("symbol", "horizon", F.col("mae").alias("production_mae"), F.col("directional_accuracy").alias("production_da"))
+    d = p.filter("variant = 'b'").join(prod, ["symbol", "horizon"], "left")
+    return rounded(
+        d.select(
+            "symbol", "horizon", "mae", "production_mae", (F.col("mae") - F.col("production_mae")).alias("mae_delta"),
+            (F.col("directional_accuracy") - F.col("production_da")).alias("da_delta"),
+        ),
+        9,
+    )
+
+
+@query("feature_set_coverage")
+def feature_set_coverage(spark, sf):
+    """Every named feature set attached to the bars, with the share of rows that have all of its columns."""
+    from tidemark.operators.models import FEATURE_SETS
+
+    src = {"funding": T.funding(spark, sf), "trades": T.trades(spark, sf), "news": PJ.news_items(spark, sf)}
+    out = None
+    for name, attach in FEATURE_SETS.items():
+        d, cols = attach(T.bars(spark, sf), src)
+        ok = F.lit(True)
+        for c in cols:
+            ok = ok & F.col(c).isNotNull()
+        d = d.groupBy(F.lit(name).alias("feature_set"), "symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("int")).alias("coverage"))
+        out = d if out is None else out.unionByName(d)
+    return out
