@@ -21,6 +21,8 @@ def test_twins_belong_to_queries():
 def test_same_rows(spark, sf, con, name):
     df = Q[name](spark, sf)
     got = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     rel = con.execute(O[name])
     cols = [d[0] for d in rel.description]
     diff = compare(df.columns, got, cols, rel.fetchall())

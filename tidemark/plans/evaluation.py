@@ -354,7 +354,7 @@ def _regime_sql(tail):
 e_{ax} AS (SELECT f.symbol, f.fold, quantile_cont({x}, 1.0/3) AS e1, quantile_cont({x}, 2.0/3) AS e2 FROM folds f JOIN pr p ON p.symbol = f.symbol AND p.pos < f.train_end_pos GROUP BY 1, 2)"""
         )
     un = " UNION ALL ".join(
-        f"SELECT l.symbol, l.fold, '{ax}' AS axis, l.horizon, CASE WHEN l.{ax} >= e2 THEN 'hi' WHEN l.{ax} >= e1 THEN 'mid' ELSE 'lo' END AS bucket, a, p FROM lp l JOIN e_{ax} USING (symbol, fold) WHERE l.{ax} IS NOT NULL"
+        f"SELECT l.symbol, l.fold, '{ax}' AS axis, l.horizon, CASE WHEN l.{ax} >= e2 THEN 'hi' WHEN l.{ax} >= e1 THEN 'mid' ELSE 'lo' END AS bucket, a, p FROM lp l JOIN e_{ax} USING (symbol, fold) WHERE l.{ax} IS NOT NULL AND e1 IS NOT NULL"
         for ax in ("vol_level", "vol_accel")
     )
     return with_(

@@ -351,7 +351,7 @@ def drift_baseline(spark, sf):
 
 # --- paired tests ---------------------------------------------------------------------------------------
 PAIRED = """, o AS (SELECT symbol, variant, fold, sum(pinball_loss * n_test) / sum(n_test) AS v FROM qf GROUP BY 1, 2, 3),
-d AS (SELECT a.symbol, b.v - a.v AS d FROM o a JOIN o b ON a.symbol = b.symbol AND a.fold = b.fold AND a.variant = 'a' AND b.variant = 'b')"""
+d AS (SELECT a.symbol, b.v - a.v AS d FROM o a JOIN o b ON a.symbol = b.symbol AND a.fold = b.fold AND a.variant = 'a' AND b.variant = 'b' WHERE b.v - a.v IS NOT NULL)"""
 
 
 def deltas(spark, sf):

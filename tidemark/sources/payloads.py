@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import settle
+
 # Response size limit, smallest window worth splitting, payload shapes and date formats.
 MAX_RECORDS = 250
 MIN_WINDOW_US = 3_600_000_000
@@ -102,15 +104,16 @@ def sitemap_entries(payloads: DataFrame) -> DataFrame:
 def walk_sitemaps(payloads: DataFrame, roots: DataFrame, keep_child: Column | None = None, max_depth: int = 3) -> DataFrame:
     """Entries of every leaf reachable from ``roots`` (url) in at most ``max_depth`` steps.
 
-    One equi-join with the payload table per level; a child that was never fetched just drops out.
+    One equi-join with the payload table per level, each frontier written before the next step; a child that was never fetched just drops out.
     """
     links = child_sitemaps(payloads)
     if keep_child is not None:
         links = links.filter(keep_child)
-    level = roots.select("url").distinct()
+    level = settle(roots.select("url").distinct())
     seen = level
     for _ in range(max_depth):
         level = level.join(links, F.col("url") == F.col("parent")).select(F.col("loc").alias("url")).distinct()
+        level = settle(level)
         seen = seen.unionByName(level)
     return sitemap_entries(payloads.join(seen.distinct(), "url", "left_semi"))
 

@@ -23,7 +23,8 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def ohlcv(trades: DataFrame, interval_us: int = HOUR) -> DataFrame:
     """Trades (symbol, t, seq, price, qty) to one candle per (symbol, interval)."""
     slot = F.col("t") - F.pmod(F.col("t"), F.lit(interval_us))
-    order = F.struct("t", "seq")
+    # (t, seq) as one fixed-width number: a struct in the buffer would force a sort of all trades.
+    order = F.col("t").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)")
     return (
         trades.groupBy("symbol", slot.alias("t"))
         .agg(
