@@ -103,12 +103,22 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("budget", [10**9, 12])
-def test_near_duplicates_equal_the_greedy_walk(spark, budget):
+@pytest.mark.parametrize("budget", [10**9, 4])
+def test_near_duplicates_equal_the_greedy_walk(spark, budget, monkeypatch):
+    parked = []
+    park = D.park
+
+    def watched(*args):
+        post, p = park(*args)
+        parked.append(p is not None and p.count() > 0)
+        return post, p
+
+    monkeypatch.setattr(D, "park", watched)
     texts = near_copies()
     d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     got = sorted(r.i for r in D.drop_near_duplicates(d, "i", "text", 0.85, ["w0"], budget).collect())
     assert got == greedy(texts, 0.85, {"w0"})
+    assert parked == [budget == 4]
 
 
 def test_spearman_and_kruskal_by_hand(spark):
