@@ -30,6 +30,11 @@ EVENT_KEYWORDS = {
 QUOTE_SUFFIXES = ["USDT", "USDC", "BUSD", "USD"]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often the expression refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def base_asset(symbol: Column) -> Column:
     """Drop one quote-currency suffix from the end of a symbol."""
     return F.regexp_replace(symbol, f"({'|'.join(QUOTE_SUFFIXES)})$", "")
@@ -74,20 +79,23 @@ def closed_label(answer_json: Column, vocabulary: Sequence[str] = tuple(EVENT_TY
 def title_from_url(url: Column) -> Column:
     """Readable title from the last path segment; a bare number gives way to the segment before."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    use = F.when(last.rlike("^[0-9]+$") & (F.size(parts) >= 2), F.element_at(parts, -2)).otherwise(last)
-    words = F.trim(F.regexp_replace(use, "[-_]+", " "))
-    return F.when(words == "", url).otherwise(title_case(words))
+
+    def pick(parts):
+        last = F.element_at(parts, -1)
+        return F.when(last.rlike("^[0-9]+$") & (F.size(parts) >= 2), F.element_at(parts, -2)).otherwise(last)
+
+    words = F.trim(F.regexp_replace(let(F.split(path, "/"), pick), "[-_]+", " "))
+    return let(words, lambda w: F.when(w == "", url).otherwise(title_case(w)))
 
 
 def title_case(text: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the other letters."""
-    chars = F.split(text, "")
-    pairs = F.transform(
-        chars,
-        lambda c, i: F.when(
-            (i == 0) | ~F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(r"^\p{L}$"), F.upper(c)
-        ).otherwise(F.lower(c)),
-    )
-    return F.array_join(pairs, "")
+
+    def cased(chars):
+        def one(c, i):
+            before = F.coalesce(F.get(chars, i - 1), F.lit(""))
+            return F.when((i == 0) | ~before.rlike(r"^\p{L}$"), F.upper(c)).otherwise(F.lower(c))
+
+        return F.array_join(F.transform(chars, one), "")
+
+    return let(F.split(text, ""), cased)

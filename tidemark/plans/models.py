@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark import tables as T
 from tidemark.functions import text as X
 from tidemark.operators import evaluation as E, features as FE, models as MO, screens as SC, splits as S, targets as Y, textmodels as TM
+from tidemark.operators import upserts as U
 from tidemark.plans import evaluation as PE, joins as PJ
+from tidemark.plans.news import news_table
 from tidemark.plans.registry import query
 from tidemark.session import fresh_dir, settle
 
@@ -151,7 +153,7 @@ def text_sentiment(spark, sf):
     items = PJ.news_items(spark, sf)
     lab = Y.label_news(items.select("url", "symbol", "t", "title"), T.bars(spark, sf))
     model, labels = TM.fit_text_classifier(settle(lab.select("title", "label")), "title", "label")
-    pending = items.filter(F.col("doc_id") % 3 == 0).select("url", "title")
+    pending = U.pending(news_table(spark, sf), "sentiment_pos").select("url", "title")
     s = TM.sentiment(TM.score(model, pending, "title"), labels)
     return s.select("url", "sentiment_pos", "sentiment_neu", "sentiment_neg", "sentiment_confidence")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidemark.functions.text import let
+
 # Named entities that occur in running text; the ampersand must come last.
 ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "–"),
@@ -19,12 +21,15 @@ def _code_point(hex_digits: Column) -> Column:
 
 def _numeric(text: Column, pattern: str, mark: str, to_hex) -> Column:
     """Replace every distinct reference that matches ``pattern``; ``mark`` is what precedes its digits."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
     def put(acc, n):
         return F.replace(acc, F.concat(F.lit(mark), n, F.lit(";")), _code_point(to_hex(n)))
 
-    return F.aggregate(found, text, put)
+    def all_of(t):
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
+        return F.when(F.contains(t, F.lit(mark)), F.aggregate(found, t, put)).otherwise(t)
+
+    return let(text, all_of)
 
 
 def unescape(text: Column) -> Column:
