@@ -48,7 +48,7 @@ def folds_of(bars):
 
 @query("fold_table", with_(BARS, FOLDS) + f"SELECT {FOLD_COLS} FROM folds")
 def fold_table(spark, sf):
-    return fold_view(folds_of(T.bars(spark, sf)))
+    return fold_view(folds_of(T.candles(spark, sf)))
 
 
 @query("fold_table_sliding", with_(BARS, folds_sql(max_days=8)) + f"SELECT {FOLD_COLS} FROM folds")
@@ -92,7 +92,7 @@ def positioned(bars):
     FROM folds f JOIN rets b USING (symbol) GROUP BY 1, 2""",
 )
 def fold_membership_counts(spark, sf):
-    bars = positioned(T.bars(spark, sf))
+    bars = settle(positioned(T.candles(spark, sf)))
     folds = folds_of(bars)
     train = (
         S.with_train_slice(bars, folds)
@@ -106,7 +106,8 @@ def fold_membership_counts(spark, sf):
 
 
 def target_rows(spark, sf, horizons=HS):
-    return Y.targets(positioned(T.bars(spark, sf)), horizons)
+    """Bars with targets as a written table: baselines read them for folds, train and test."""
+    return settle(Y.targets(positioned(T.candles(spark, sf)), horizons))
 
 
 LONG_TARGETS = "\nlt AS (" + " UNION ALL ".join(
@@ -163,7 +164,7 @@ QPREDS = {
 def predicted(spark, sf, quantiles=False):
     """Bars with targets, the stand-in predictors' inputs and regime columns, from one set of blocks."""
     w = block_window(X.KEYS, "t")
-    d = X.blocked(T.bars(spark, sf), 145, max(HS)).withColumn("ret", X.ret_col(w))
+    d = X.blocked(T.candles(spark, sf), 145, max(HS)).withColumn("ret", X.ret_col(w))
     ret = F.col("ret")
     cols = {
         # Rounded: equal closes six bars apart must give 0, not the last bits of a sum.
@@ -181,8 +182,8 @@ def predicted(spark, sf, quantiles=False):
 
 
 def test_rows(spark, sf, quantiles=False):
-    d = predicted(spark, sf, quantiles)
-    return S.with_test_fold(d, folds_of(T.bars(spark, sf)), MIN_TRAIN, TEST)
+    d = settle(predicted(spark, sf, quantiles))
+    return S.with_test_fold(d, folds_of(d), MIN_TRAIN, TEST)
 
 
 PRED_SQL = f"""

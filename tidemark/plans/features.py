@@ -269,14 +269,14 @@ PLAIN, MATRIX_SQL = _matrix_sql()
 @query("feature_matrix", MATRIX_SQL)
 def feature_matrix(spark, sf):
     """Features and targets in one pass; the recursive columns are compared in their own queries."""
-    d = Y.dataset(T.bars(spark, sf), base=T.BASE_SYMBOL)
+    d = Y.dataset(T.candles(spark, sf), base=T.BASE_SYMBOL)
     return rounded(d.select(*ID, *PLAIN, "base_ret", *[f"r_{h}" for h in HS]))
 
 
 @query("feature_matrix_full")
 def feature_matrix_full(spark, sf):
     """All model inputs and targets, the recursive ones included."""
-    d = Y.dataset(T.bars(spark, sf), base=T.BASE_SYMBOL)
+    d = Y.dataset(T.candles(spark, sf), base=T.BASE_SYMBOL)
     return d.select(*ID, *Y.feature_columns(d.columns), *[f"r_{h}" for h in HS])
 
 

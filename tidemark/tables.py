@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.blocks import from_micros, micros
-from tidemark.session import prepare  # noqa: F401  (re-exported for plans)
+from tidemark.session import prepare, settle
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -55,6 +55,11 @@ def bars(spark: SparkSession, sf: str, interval_us: int = HOUR) -> DataFrame:
     return ohlcv(trades(spark, sf), interval_us)
 
 
+def candles(spark: SparkSession, sf: str, interval_us: int = HOUR) -> DataFrame:
+    """Bars as a written table, for queries that read them more than once: one scan of the trades."""
+    return settle(bars(spark, sf, interval_us))
+
+
 def funding(spark: SparkSession, sf: str) -> DataFrame:
     """One settlement every eight hours: the mean value of the bucket (symbol, t, rate)."""
     slot = F.col("t") - F.pmod(F.col("t"), F.lit(8 * HOUR))
