@@ -13,7 +13,7 @@ from tidemark.plans.gates import INPUTS, gate_point
 from tidemark.plans.joins import NEWS, news_items
 from tidemark.plans.registry import query
 from tidemark.plans.sql import with_
-from tidemark.session import fresh_dir
+from tidemark.session import fresh_dir, settle
 from tidemark.sources import files as FI, html as H, news as SN, payloads as P
 
 ENT_SQL = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -113,7 +113,8 @@ def sitemap_payloads(spark, sf):
     top = mid.groupBy().agg(F.array_join(F.collect_list(entry), "").alias("x")).select(
         F.lit("s/root").alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("payload")
     )
-    return leaf.select("url", "payload").unionByName(mid).unionByName(top), top.select("url")
+    # Payloads arrive as a landed table; so do these.
+    return settle(leaf.select("url", "payload").unionByName(mid).unionByName(top)), top.select("url")
 
 
 @query(
