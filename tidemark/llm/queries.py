@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import prefixcount, rules, simhash
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 
+LIMIT = 4096  # tokens of a context window
+
+
+@query("op5_prefix_token_counts")
+def op5(spark, sf):
+    """Exact token counts, and how much of a text fits the window."""
+    return prefixcount.token_counts(table(spark, sf, "documents"), LIMIT)
+
+
+@query("op6_quality_forest")
+def op6(spark, sf):
+    """Rule statistics and the verdict of base rule and forest."""
+    out = rules.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf):
     """Fingerprint and near-duplicate group of every document."""
