@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import prefixcount, rules, simhash
+from tidemark.llm import mix, passages, prefixcount, rules, simhash
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 
+@query("op4_source_mix", mix.SQL)
+def op4(spark, sf):
+    """Words that a mix of weighted sources takes from every document."""
+    return mix.mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 LIMIT = 4096  # tokens of a context window
 
 
@@ -32,5 +38,11 @@ def op8(spark, sf):
     return g.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+@query("op9_passage_dedup")
+def op9(spark, sf):
+    """Repeated passages: spans cut from every document, and its text without them."""
+    return passages.spans(table(spark, sf, "documents")).select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
 def load():
     return QUERIES, ORACLES
