@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mix, passages, prefixcount, rules, simhash
+from tidemark.llm import mix, nbest, passages, prefixcount, rules, simhash
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -31,6 +31,12 @@ def op6(spark, sf):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@query("op7_nbest_pieces")
+def op7(spark, sf):
+    """Best segmentation of every text with the scores of the n best, and whether all of them decode to the text."""
+    return nbest.encoded(table(spark, sf, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_paths", "ids", "scores", "digests", "round_trip")
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark, sf):
     """Fingerprint and near-duplicate group of every document."""
