@@ -11,6 +11,7 @@ by the count in front of it.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -19,17 +20,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.base import TOKENIZERS, over_batches
-from tidemark.llm.pieces import MODEL, Pieces, load
+from tidemark.llm.pieces import MARK, MODEL, Pieces, load
 
 CACHED = 1 << 18  # word tables and pairs held by a process; beyond that a cache starts anew
 ALONE = -1  # last token of a prefix that ends in bytes, which join with nothing
 
 
+class Words(dict):
+    """Tables by word, made when first asked for. A full generation is put aside, and words still in use come back from it."""
+
+    def __init__(self, make):
+        self.make, self.aside = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.aside.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= CACHED:
+            self.aside = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class PrefixCounts:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words = Words(self._table)
         self.found = ahocorasick.Automaton()
         for p, i in pieces.ids.items():
             self.found.add_word(p, (len(p), i))
@@ -37,44 +55,41 @@ class PrefixCounts:
         # a character without a piece keeps the library's own leading space away from a pair
         self.wall = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in pieces.ids)
         self.head = pieces.lib.encode(self.wall)
-
-    def _stands(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= 4 * CACHED:
-                self.pairs.clear()
-            text = (self.pieces.texts[left] + self.pieces.texts[right]).replace("▁", " ")
-            got = self.pairs[key] = self.pieces.lib.encode(self.wall + text) == [*self.head, left, right]
-        return got
-
-    def table(self, word: str) -> np.ndarray:
-        """Counts of all prefixes of a surface part, from length 1."""
-        got = self.words.get(word)
-        if got is None:
-            got = self._table(word)
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[word] = got
+        self.shift = len(pieces.texts).bit_length()
+
+    def _stands(self, key: int) -> bool:
+        """Is the text of two pieces encoded as these two?"""
+        if len(self.pairs) >= 4 * CACHED:
+            self.pairs.clear()
+        left, right = key >> self.shift, key & (1 << self.shift) - 1
+        text = (self.pieces.texts[left] + self.pieces.texts[right]).replace(MARK, " ")
+        got = self.pairs[key] = self.pieces.lib.encode(self.wall + text) == [*self.head, left, right]
         return got
 
-    def _table(self, word: str) -> np.ndarray:
-        n = len(word)
+    def _table(self, rest: str) -> bytes:
+        """Counts of all prefixes, from length 1, of a surface part given without its first mark; packed int32."""
+        word = MARK + rest
+        n, shift, known = len(word), self.shift, self.pairs.get
         last, count = [ALONE] * (n + 1), [0] * (n + 1)
-        done, stands = 0, self._stands
+        done = 0
         for end, (size, piece) in self.found.iter(word):
-            i = end + 1
-            if i <= done:
+            if end < done:
                 continue  # this prefix has its last token
-            if i > done + 1:
-                self._as_bytes(word, done, i - 1, last, count)
-                done = i - 1
-            j = i - size
-            if last[j] == ALONE or stands(last[j], piece):
-                last[i], count[i] = piece, count[j] + 1
-                done = i
-        self._as_bytes(word, done, n, last, count)
-        return np.array(count[1:], np.int32)
+            if end > done:
+                self._as_bytes(word, done, end, last, count)
+                done = end
+            j = end + 1 - size
+            left = last[j]
+            if left >= 0:
+                key = left << shift | piece
+                stands = known(key)
+                if not (self._stands(key) if stands is None else stands):
+                    continue
+            done = end + 1
+            last[done], count[done] = piece, count[j] + 1
+        if done < n:
+            self._as_bytes(word, done, n, last, count)
+        return array('i', count[1:]).tobytes()
 
     @staticmethod
     def _as_bytes(word: str, done: int, until: int, last: list[int], count: list[int]) -> None:
@@ -86,11 +101,13 @@ class PrefixCounts:
         """``out[k]``: tokens of the first k characters of the text, k from 0."""
         if not text:
             return np.zeros(1, np.int32)
-        tables = [self.table(w) for w in self.pieces.parts(text)]
-        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
-        flat = np.concatenate(tables)
-        ends = np.cumsum(sizes)
-        before = np.r_[0, np.cumsum(flat[ends - 1])[:-1]]
+        words = text.split(" ")
+        if "" in words or MARK in text:  # runs of spaces, or marks of its own
+            words = [p[1:] for p in self.pieces.parts(text)]
+        tables = list(map(self.words.__getitem__, words))
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables)) >> 2
+        flat = np.frombuffer(b"".join(tables), np.int32)
+        before = np.r_[0, np.cumsum(flat[np.cumsum(sizes) - 1])[:-1]]
         flat = flat + np.repeat(before, sizes).astype(np.int32)
         flat[0] = 0  # the space in front of an empty text is no token
         return flat
