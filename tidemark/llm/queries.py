@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mix, nbest, passages, prefixcount, rules, simhash
+from tidemark.llm import langid, mix, nbest, passages, prefixcount, rules, simhash, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 
+@query("op2_language_ftrl")
+def op2(spark, sf):
+    """Language of every document."""
+    return langid.languages(table(spark, sf, "documents"))
+
+
+@query("op3_toxicity_kneser_ney")
+def op3(spark, sf):
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op4_source_mix", mix.SQL)
 def op4(spark, sf):
     """Words that a mix of weighted sources takes from every document."""
