@@ -54,7 +54,7 @@ def test_held_out_documents(spark, make_docs):
     assert sum(got[d].predicted == truth[d] for d in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert got[900].ratio == got[901].ratio == 0.0 and got[902].predicted == 0 and got[None].predicted == 1
-    twisted = spark.createDataFrame([(d, 1 - k if got[d].held_out else k) for d, k in labels], "doc_id long, toxic int")
+    twisted = spark.createDataFrame([(d, 1 - k if got[d].held_out else k) for d, k in labels] + [(7777, 1)], "doc_id long, toxic int")
     again = {r.doc_id: r.score for r in X.toxicity(docs.repartition(3), twisted).collect()}
     assert all(abs(again[d] - got[d].score) < 1e-9 for d in got)
 
