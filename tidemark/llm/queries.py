@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mix, nbest, passages, prefixcount, rules, simhash, toxicity
+from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, prefixcount, rules, simhash, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 
+@query("op1_permutation_index")
+def op1(spark, sf):
+    """The nearest neighbours of every fiftieth vector."""
+    return permindex.search(table(spark, sf, "embeddings"))
+
+
 @query("op2_language_ftrl")
 def op2(spark, sf):
     """Language of every document."""
@@ -62,5 +68,11 @@ def op9(spark, sf):
     return passages.spans(table(spark, sf, "documents")).select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
+@query("op10_maxent_scores")
+def op10(spark, sf):
+    """Unigram and maximum-entropy log10 probability of every document."""
+    return maxent.scores(table(spark, sf, "documents"))
+
+
 def load():
     return QUERIES, ORACLES
