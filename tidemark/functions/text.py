@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -41,11 +42,12 @@ def base_asset(symbol: Column) -> Column:
 
 
 def word_pattern(phrases: Sequence[str]) -> str:
-    """Case-insensitive whole-word pattern of any phrase (letters and spaces only).
+    """Case-insensitive whole-word pattern of any phrase (taken literally).
 
     The U flag makes the word boundary know accented letters: no "eth" in "éthé".
     """
-    return r"(?iU)\b(" + "|".join(phrases) + r")\b"
+    literal = [re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", p) for p in phrases]
+    return r"(?iU)\b(" + "|".join(literal) + r")\b"
 
 
 def tags(text: Column, groups: Mapping[str, Sequence[str]]) -> Column:

@@ -53,7 +53,8 @@ def novelty(items: DataFrame, keys: Sequence[str], window_us: int = DAY, size: i
     # A block needs the blocks from the first one that reaches into its window up to itself.
     reach = _first_block(packed.select(*keys, "b", "t_min", "t_max"), keys, window_us)
     need = reach.select(*keys, F.col("b").alias("lb"), F.explode(F.sequence("first_b", "b")).alias("rb"))
-    jobs = need.join(left, [*keys, "lb"]).join(right, [*keys, "rb"]).drop(*keys, "lb", "rb")
+    # The key travels as one value, so that an id under two keys stays two items.
+    jobs = need.join(left, [*keys, "lb"]).join(right, [*keys, "rb"]).withColumn("_key", F.to_json(F.struct(*keys))).drop(*keys, "lb", "rb")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -63,15 +64,17 @@ def novelty(items: DataFrame, keys: Sequence[str], window_us: int = DAY, size: i
                 ok = (j.r_pos[None, :] < j.l_pos[:, None]) & (j.r_t[None, :] >= j.l_t[:, None] - window_us)
                 top = np.where(ok, a @ c.T, -np.inf).max(axis=1)
                 keep = np.isfinite(top)
-                yield pd.DataFrame({"id": j.l_id[keep], "best": top[keep]})
+                yield pd.DataFrame({"key": j.key, "id": j.l_id[keep], "best": top[keep]})
 
     id_type = items.schema["id"].dataType.simpleString()
-    found = jobs.mapInPandas(best, f"id {id_type}, best double").groupBy("id").agg(F.max("best").alias("best"))
-    counts = counts_before(d.select(*keys, "id", "t", "pos"), keys, window_us).select("id", "news_count_24h")
+    found = jobs.withColumnRenamed("_key", "key").mapInPandas(best, f"key string, id {id_type}, best double")
+    found = found.groupBy("key", "id").agg(F.max("best").alias("best")).withColumnRenamed("key", "_key")
+    counts = counts_before(d.select(*keys, "id", "t", "pos"), keys, window_us).select(*keys, "id", "news_count_24h")
     return (
         d.select(*keys, "id", "t")
-        .join(found, "id", "left")
-        .join(counts, "id", "left")
+        .withColumn("_key", F.to_json(F.struct(*keys)))
+        .join(found, ["_key", "id"], "left")
+        .join(counts, [*keys, "id"], "left")
         .select(*keys, "id", "t", F.coalesce(1 - F.col("best"), F.lit(1.0)).alias("novelty"), "news_count_24h")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import ranks as R
 from tidemark.operators.blocks import from_micros
+from tidemark.session import settle
 from tidemark.tables import DAY, HOUR
 
 KEYS = ["symbol"]
@@ -39,6 +40,6 @@ def large_thresholds(trades: DataFrame, q: float = LARGE) -> DataFrame:
 
 def ofi_bars(trades: DataFrame, interval_us: int = HOUR) -> DataFrame:
     """Counts and buy/sell/large volumes per bar; large = at or above the day's own 90 % size."""
-    d = trades.withColumn("day", day_of(F.col("t"))).join(large_thresholds(trades), ["symbol", "day"])
+    d = trades.withColumn("day", day_of(F.col("t"))).join(settle(large_thresholds(trades)), ["symbol", "day"])
     slot = F.col("t") - F.pmod(F.col("t"), F.lit(interval_us))
     return d.groupBy("symbol", slot.alias("t")).agg(*flow_aggs()).withColumn("ts", from_micros("t"))

@@ -15,16 +15,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.operators.blocks import bucket_offsets
 from tidemark.session import settle
 
-RANGES = 32
+RANGE_VALUES = 1 << 18  # distinct values of a key that one task numbers
+MIN_RANGES = 8
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """(keys, value, n, below): rows with this value, and rows of the key with a smaller one."""
+def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """(keys, value, n, below): rows with this value, and rows of the key with a smaller one.
+
+    The number of ranges follows the distinct values of the largest key.
+    """
     if not keys:
         raise ValueError("ordered_counts needs at least one key column")
     counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    if ranges is None:
+        most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        ranges = max(MIN_RANGES, -(-most // RANGE_VALUES))
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = settle(counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts")))
+    cuts = settle(counts.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 10 * ranges)).alias("_cuts")))
     rng = F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_rng")
     d = counts.join(cuts, [*keys]).select(*keys, value, "n", rng)
     off = bucket_offsets(d, [*keys], "_rng", _off=F.sum("n"))
@@ -42,7 +49,7 @@ def average_rank() -> Column:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """One row per key: count ``n_rows`` and the linearly interpolated quantiles ``q1``, ``q2``, ..."""
     c = ordered_counts(df, keys, value)
-    total = c.groupBy(*keys).agg(F.sum("n").alias("n_rows"))
+    total = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
     d = c.join(total, [*keys])
     aggs = []
     for i, p in enumerate(probs, 1):

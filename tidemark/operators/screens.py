@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.operators import evaluation as E, ranks as R, splits as S
+from tidemark.session import settle
 
 KEY = S.KEY
 
@@ -21,7 +22,7 @@ def long_targets(rows: DataFrame, horizons: Sequence[int], keep: Sequence[str])
 def constant_quantiles(parts: DataFrame, horizons: Sequence[int], quantiles: Sequence[float]) -> DataFrame:
     """Pinball loss on part 'holdout' of the constant train quantile, per horizon and level."""
     d = long_targets(parts, horizons, [KEY, "part"])
-    consts = R.exact_quantiles(d.filter("part = 'train'"), [KEY, "horizon"], "r", quantiles).drop("n_rows")
+    consts = settle(R.exact_quantiles(d.filter("part = 'train'"), [KEY, "horizon"], "r", quantiles).drop("n_rows"))
     j = d.filter("part = 'holdout'").join(consts, [KEY, "horizon"])
     cells = [
         (
@@ -58,7 +59,7 @@ def naive_point(parts: DataFrame, horizons: Sequence[int]) -> DataFrame:
 def bucketed(df: DataFrame, keys: Sequence[str], by: str, q: int) -> DataFrame:
     """Rows with ``bucket`` 0.. cut at the exact q-quantiles of ``by``: right-closed, equal edges merged."""
     probs = [i / q for i in range(q + 1)]
-    edges = R.exact_quantiles(df, keys, by, probs, out="_e").drop("n_rows")
+    edges = settle(R.exact_quantiles(df, keys, by, probs, out="_e").drop("n_rows"))
     cols = [F.col(f"_e{i}") for i in range(1, q + 2)]
     return df.join(edges, [*keys]).withColumn("bucket", R.right_closed(F.col(by), cols)).drop(
         *[f"_e{i}" for i in range(1, q + 2)]
@@ -177,9 +178,9 @@ def bucket_marginal(
     test = d.withColumn("_h", F.explode(F.filter("_w", lambda x: (t >= x["test_start"]) & (t < x["test_end"]))))
     train, test = (x.withColumn("fold", F.col("_h.fold")).drop("_h", "_w") for x in (train, test))
     gk = [*keys, "fold"]
-    edges = R.exact_quantiles(train, gk, feature, [i / q for i in range(1, q)], out="_e").filter(
+    edges = settle(R.exact_quantiles(train, gk, feature, [i / q for i in range(1, q)], out="_e").filter(
         F.col("n_rows") >= min_train
-    )
+    ))
     cuts = [F.col(f"_e{i}") for i in range(1, q)]
     y = F.col(target)
 
@@ -222,7 +223,7 @@ def drift_baseline(rows: DataFrame, columns: Sequence[str], bins: int = 10) -> D
     stats = d.groupBy(KEY, "feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
     q = R.exact_quantiles(d, [KEY, "feature"], "x", [i / bins for i in range(bins + 1)], out="_e")
     es = [F.col(f"_e{i}") for i in range(1, bins + 2)]
-    edges = q.select(KEY, "feature", "n_rows", F.array_distinct(F.array(*es)).alias("bin_edges"))
+    edges = settle(q.select(KEY, "feature", "n_rows", F.array_distinct(F.array(*es)).alias("bin_edges")))
     inside = d.filter("x is not null").join(edges, [KEY, "feature"])
     below = F.size(F.filter("bin_edges", lambda e: e < F.col("x")))
     binned = inside.withColumn("bin", F.greatest(below - 1, F.lit(0))).groupBy(KEY, "feature", "n_rows", "bin").agg(

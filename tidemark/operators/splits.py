@@ -125,13 +125,13 @@ def recency_weight(t: Column, as_of: Column, half_life_days: float) -> Column:
 
 def last_days(rows: DataFrame, days: float, order: str = "t") -> DataFrame:
     """Rows of the last ``days`` days of each symbol, the newest row's own time being day 0."""
-    newest = rows.groupBy(KEY).agg(F.max(order).alias("_max"))
+    newest = settle(rows.groupBy(KEY).agg(F.max(order).alias("_max")))  # its true size lets the planner broadcast it
     return rows.join(newest, KEY).filter(F.col(order) >= F.col("_max") - F.lit(int(days * DAY))).drop("_max")
 
 
 def holdout(rows: DataFrame, days: float = 30.0, order: str = "t") -> DataFrame:
     """Rows marked ``part`` = 'train' / 'holdout' by the last ``days`` days of their symbol."""
-    newest = rows.groupBy(KEY).agg(F.max(order).alias("_max"))
+    newest = settle(rows.groupBy(KEY).agg(F.max(order).alias("_max")))  # its true size lets the planner broadcast it
     old = F.col(order) < F.col("_max") - F.lit(int(days * DAY))
     return rows.join(newest, KEY).withColumn("part", F.when(old, "train").otherwise("holdout")).drop("_max")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.dist import chi2_p_value, t_p_value, t_upper_quantile
 from tidemark.operators import ranks as R
 from tidemark.operators.blocks import BLOCK_ROWS, block_window, with_halo, with_position
+from tidemark.session import settle
 
 
 def pairs(df: DataFrame, keys: Sequence[str], x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -30,6 +31,7 @@ def ols_hac(df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, lags
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
         F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
     )
+    mom = settle(mom)
     e = F.col("y") - F.col("my") - F.col("slope") * (F.col("x") - F.col("mx"))
     d = with_halo(d.join(mom, [*keys]).withColumn("e", e), "pos", lags)
     first = F.col("blk") * BLOCK_ROWS - lags
@@ -83,7 +85,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     d = c.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
     m = F.col("m")
     # Weighted moments around the common mean rank (n + 1) / 2.
-    size = c.groupBy(*keys).agg(F.sum("m").alias("n"))
+    size = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     d = d.join(size, [*keys])
     mid = (F.col("n") + 1) / F.lit(2.0)
     dx, dy = F.col("rx") - mid, F.col("ry") - mid
@@ -160,12 +162,10 @@ def paired_test(deltas: DataFrame, alpha: float = 0.05, power: float = 0.8) -> D
 
 def residualise(df: DataFrame, keys: Sequence[str], y: str, control: str, out: str) -> DataFrame:
     """y minus its straight-line fit on the control."""
-    fit = pairs(df, keys, control, y).groupBy(*keys).agg(
-        F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a")
-    )
     # A constant control leaves the fit at the mean.
-    mean = pairs(df, keys, control, y).groupBy(*keys).agg(F.avg("y").alias("_m"))
-    fit = fit.join(mean, [*keys])
+    fit = settle(pairs(df, keys, control, y).groupBy(*keys).agg(
+        F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a"), F.avg("y").alias("_m")
+    ))
     line = F.coalesce(F.col("_a") + F.col("_b") * F.col(control), F.col("_m"))
     return df.join(fit, [*keys]).withColumn(out, F.col(y) - line).drop("_a", "_b", "_m")
 

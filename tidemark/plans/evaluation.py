@@ -312,7 +312,7 @@ def daily_rollup(spark, sf):
     )
 
 
-N_BOOT = 2000
+N_BOOT = 10_000
 
 
 def _boot_sql():

@@ -152,8 +152,10 @@ def text_sentiment(spark, sf):
     """Pending items scored by a model trained on market labels: three probabilities and the top one."""
     items = PJ.news_items(spark, sf)
     lab = Y.label_news(items.select("url", "symbol", "t", "title"), T.bars(spark, sf))
-    model, labels = TM.fit_text_classifier(settle(lab.select("title", "label")), "title", "label")
-    pending = U.pending(news_table(spark, sf), "sentiment_pos").select("url", "title")
+    pending = settle(U.pending(news_table(spark, sf), "sentiment_pos").select("url", "title"))
+    # A scored item never teaches its own future.
+    train = settle(lab.join(pending.select("url"), "url", "left_anti").select("title", "label"))
+    model, labels = TM.fit_text_classifier(train, "title", "label")
     s = TM.sentiment(TM.score(model, pending, "title"), labels)
     return s.select("url", "sentiment_pos", "sentiment_neu", "sentiment_neg", "sentiment_confidence")
 

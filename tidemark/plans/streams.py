@@ -12,7 +12,7 @@ from tidemark.plans.features import RETS, TARGETS, r, rounded
 from tidemark.plans.news import BATCH, batch
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, full, with_
-from tidemark.session import fresh_dir
+from tidemark.session import fresh_dir, settle
 from tidemark.streaming import jobs as J
 
 
@@ -78,16 +78,15 @@ def stream_serving_features(spark, sf):
 
     The compared columns look back less than the state, so they equal the batch job's exactly.
     """
-    bars = T.bars(spark, sf)
+    bars = settle(T.bars(spark, sf))
     src = fresh_dir(spark, "candles")
-    edges = [0, 12, 19, 31]
-    start = 1_704_067_200_000_000
-    # One file per ten-day stretch, written one after the other: the stream reads them oldest first.
+    first, last = bars.agg(F.min("t"), F.max("t")).first()
+    edges = [first + (last + 1 - first) * i // 3 for i in range(4)]
+    # Two files per third of the span, written one after the other: the stream reads them oldest first.
     for lo, hi in zip(edges, edges[1:]):
-        part = bars.filter((F.col("t") >= start + lo * T.DAY) & (F.col("t") < start + hi * T.DAY))
-        part.coalesce(1).write.mode("append").parquet(src)
+        bars.filter((F.col("t") >= lo) & (F.col("t") < hi)).repartition(2).write.mode("append").parquet(src)
     job = J.ServingFeatures(spark, fresh_dir(spark, "serving"))
-    J.run_batches(J.stream_table(spark, src, files_per_trigger=1), job, fresh_dir(spark, "ck"))
+    J.run_batches(J.stream_table(spark, src, files_per_trigger=2), job, fresh_dir(spark, "ck"))
     return rounded(job.result().select("symbol", "ts", "ret_mean_36", "vol_max_144", "ret_lag_24"))
 
 

@@ -34,9 +34,9 @@ def _numeric(text: Column, pattern: str, mark: str, to_hex) -> Column:
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references to characters."""
-    out = _numeric(text, r"&#([0-9]{1,6});", "&#", lambda n: F.conv(n, 10, 16))
+    out = _numeric(text, r"&#([0-9]{1,8});", "&#", lambda n: F.conv(n, 10, 16))
     for x in "xX":
-        out = _numeric(out, rf"&#{x}([0-9A-Fa-f]{{1,5}});", f"&#{x}", lambda n: n)
+        out = _numeric(out, rf"&#{x}([0-9A-Fa-f]{{1,7}});", f"&#{x}", lambda n: n)
     for name, ch in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(ch))
     return out

@@ -101,21 +101,22 @@ def sitemap_entries(payloads: DataFrame) -> DataFrame:
     ).filter(filled(F.col("url")))
 
 
-def walk_sitemaps(payloads: DataFrame, roots: DataFrame, keep_child: Column | None = None, max_depth: int = 3) -> DataFrame:
-    """Entries of every leaf reachable from ``roots`` (url) in at most ``max_depth`` steps.
+def walk_sitemaps(payloads: DataFrame, roots: DataFrame, keep_child: Column | None = None) -> DataFrame:
+    """Entries of every leaf reachable from ``roots`` (url), however deep.
 
-    One equi-join with the payload table per level, each frontier written before the next step; a child that was never fetched just drops out.
+    One equi-join with the payload table per level, each frontier written before the next step. A document is visited
+    once, so loops end; a child that was never fetched just drops out.
     """
     links = child_sitemaps(payloads)
     if keep_child is not None:
         links = links.filter(keep_child)
     level = settle(roots.select("url").distinct())
     seen = level
-    for _ in range(max_depth):
-        level = level.join(links, F.col("url") == F.col("parent")).select(F.col("loc").alias("url")).distinct()
-        level = settle(level)
+    while not level.isEmpty():
+        found = level.join(links, F.col("url") == F.col("parent")).select(F.col("loc").alias("url")).distinct()
+        level = settle(found.join(seen, "url", "left_anti"))
         seen = seen.unionByName(level)
-    return sitemap_entries(payloads.join(seen.distinct(), "url", "left_semi"))
+    return sitemap_entries(payloads.join(seen, "url", "left_semi"))
 
 
 def sitemap_news(entries: DataFrame, source: str, start: str | None = None, end: str | None = None) -> DataFrame:

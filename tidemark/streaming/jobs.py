@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import features as X, news as N, orderflow as O, upserts as U
 from tidemark.operators.blocks import from_micros, micros
-from tidemark.session import fresh_dir
+from tidemark.session import fresh_dir, settle
 from tidemark.tables import HOUR
 
 
@@ -123,11 +123,11 @@ class ServingFeatures:
 
     def __call__(self, candles: DataFrame, batch: int) -> None:
         old = self._state(batch, candles.schema)
-        both = old.withColumn("is_new", F.lit(False)).unionByName(candles.withColumn("is_new", F.lit(True)))
+        both = settle(old.withColumn("is_new", F.lit(False)).unionByName(candles.withColumn("is_new", F.lit(True))))
         f = X.features(both, self.interval).filter("is_new").drop("is_new")
         f.write.mode("overwrite").parquet(self.path("features", batch))
         placed = X.with_position(both.drop("is_new"), X.KEYS, "t", self.interval * X.BLOCK_ROWS)
-        top = placed.groupBy("symbol").agg(F.max("pos").alias("_top"))
+        top = settle(placed.groupBy("symbol").agg(F.max("pos").alias("_top")))
         keep = placed.join(top, "symbol").filter(F.col("pos") > F.col("_top") - self.rows)
         keep.select(*candles.columns).write.mode("overwrite").parquet(self.path("state", batch))
 
@@ -136,13 +136,18 @@ class ServingFeatures:
 
 
 class NewsOnGrid:
-    """Decay features of arriving candles against the news table, one bounded window job per batch."""
+    """Decay features of arriving candles against the news of the batch's own span and of the windows before it."""
 
-    def __init__(self, news: DataFrame, events: dict[str, Column], out: str, step_us: int = HOUR):
-        self.news, self.events, self.out, self.step = news, events, out, step_us
+    def __init__(self, news: DataFrame, events: dict[str, Column], out: str, step_us: int = HOUR, reach_us: int = 25 * HOUR):
+        self.news, self.events, self.out, self.step, self.reach = news, events, out, step_us, reach_us
 
     def __call__(self, candles: DataFrame, batch: int) -> None:
-        d = N.decay_features(self.news, candles, ["symbol"], self.step, self.events)
+        span = candles.agg(F.min("t"), F.max("t")).first()
+        if span[0] is None:
+            return
+        # Only news that can reach a candle of the batch: what is older than the longest window is out.
+        news = self.news.filter(F.col("t").between(span[0] - self.reach, span[1] + self.step))
+        d = N.decay_features(news, candles, ["symbol"], self.step, self.events)
         d.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
 
 
