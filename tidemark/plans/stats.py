@@ -323,14 +323,19 @@ def novelty_marginal(spark, sf):
 DRIFT = ["base_ret", "bb_width", "ret_std_144", "funding_rate"]
 
 
-@query(
-    "drift_baseline",
+DRIFT_BINS = (
     with_(BARS, RETS,
           f"\nl AS (SELECT r.symbol, r.ts, 4 * ({sfull('close', 'stddev_pop', 20)}) / ({sfull('close', 'avg', 20)}) AS bb_width, {sfull('ret', 'stddev_samp', 144)} AS ret_std_144 FROM rets r)",
           "\nc AS (SELECT r.symbol, r.ts, CASE WHEN r.symbol <> 'click' THEN b.ret END AS base_ret FROM rets r LEFT JOIN rets b ON b.symbol = 'click' AND b.ts = r.ts)",
           "\nd AS (SELECT symbol, 'base_ret' AS feature, round(base_ret, 10) AS x FROM c UNION ALL SELECT symbol, 'bb_width', round(bb_width, 10) FROM l UNION ALL SELECT symbol, 'ret_std_144', round(ret_std_144, 10) FROM l UNION ALL SELECT symbol, 'funding_rate', NULL FROM l)",
           "\ne AS (SELECT symbol, feature, list_sort(list_distinct([" + ", ".join(f"quantile_cont(x, {i / 10})" for i in range(11)) + "])) AS e, avg(x) AS mean, stddev_samp(x) AS std, count(x) AS n FROM d GROUP BY 1, 2)",
           "\nb AS (SELECT d.symbol, d.feature, greatest(len(list_filter(e, lambda z: z < x)) - 1, 0) AS bin FROM d JOIN e ON e.symbol = d.symbol AND e.feature = d.feature WHERE x IS NOT NULL)")
+)
+
+
+@query(
+    "drift_baseline",
+    DRIFT_BINS
     + """SELECT e.symbol, e.feature, round(mean, 7) + 0.0 AS mean, round(std, 7) AS std, CASE WHEN n > 0 THEN len(e) END AS n_edges, round(e[1], 7) + 0.0 AS first_edge, round(e[-1], 7) + 0.0 AS last_edge,
     round(e[6], 7) + 0.0 AS mid_edge, round((SELECT count(*) FROM b WHERE b.symbol = e.symbol AND b.feature = e.feature AND bin = 0) / nullif(n, 0), 8) AS first_fraction,
     round((SELECT count(*) FROM b WHERE b.symbol = e.symbol AND b.feature = e.feature AND bin = 9) / nullif(n, 0), 8) AS last_fraction FROM e""",
@@ -349,6 +354,26 @@ def drift_baseline(spark, sf):
     )
 
 
+@query(
+    "drift_bins",
+    DRIFT_BINS
+    + """SELECT e.symbol, e.feature, k AS bin, round(e.e[k + 1], 7) + 0.0 AS lower_edge, round(coalesce(e.e[k + 2], e.e[k + 1]), 7) + 0.0 AS upper_edge,
+    round(coalesce(m, 0) / n, 8) AS fraction FROM e JOIN range(0, 10) t(k) ON k <= greatest(len(e.e) - 2, 0)
+    LEFT JOIN (SELECT symbol, feature, bin, count(*) AS m FROM b GROUP BY ALL) b ON b.symbol = e.symbol AND b.feature = e.feature AND b.bin = k WHERE n > 0""",
+)
+def drift_bins(spark, sf):
+    """Every bin of the drift baseline: its edges and the share of rows in it."""
+    d = Y.dataset(T.bars(spark, sf), horizons=(1,), base=T.BASE_SYMBOL)
+    d = settle(d.select("symbol", *[F.round(c, 10).alias(c) for c in DRIFT if c in d.columns]))
+    out = SC.drift_baseline(d, DRIFT).filter("bin_fractions is not null")
+    out = out.select("symbol", "feature", "bin_edges", F.posexplode("bin_fractions").alias("bin", "f"))
+    e, k = F.col("bin_edges"), F.col("bin")
+    return out.select(
+        "symbol", "feature", k.cast("long").alias("bin"), (F.round(F.get(e, k), 7) + 0.0).alias("lower_edge"),
+        (F.round(F.coalesce(F.get(e, k + 1), F.get(e, k)), 7) + 0.0).alias("upper_edge"), F.round("f", 8).alias("fraction"),
+    )
+
+
 # --- paired tests ---------------------------------------------------------------------------------------
 PAIRED = """, o AS (SELECT symbol, variant, fold, sum(pinball_loss * n_test) / sum(n_test) AS v FROM qf GROUP BY 1, 2, 3),
 d AS (SELECT a.symbol, b.v - a.v AS d FROM o a JOIN o b ON a.symbol = b.symbol AND a.fold = b.fold AND a.variant = 'a' AND b.variant = 'b' WHERE b.v - a.v IS NOT NULL)"""
