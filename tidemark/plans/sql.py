@@ -33,3 +33,18 @@ def unpivot(view: str, keep: str, cols: dict[str, dict[int, str]]) -> str:
         f"SELECT {keep}, {h} AS horizon, " + ", ".join(f"{c[h]} AS {n}" for n, c in cols.items()) + f" FROM {view}"
         for h in hs
     )
+
+
+def t_two_sided(t: str, nu: str) -> str:
+    """P(|T| > |t|) of Student's t with a whole number of degrees of freedom, as a finite sum over the angle atan(t / sqrt(nu))."""
+    a = f"atan(abs({t}) / sqrt({nu}))"
+    even = f"sin({a}) * coalesce(list_sum(list_transform(range(0, ({nu}) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * pow(cos({a}), 2 * k))), 0)"
+    odd = f"2 / pi() * ({a} + sin({a}) * cos({a}) * coalesce(list_sum(list_transform(range(0, (({nu}) - 1) // 2), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos({a}), 2 * k))), 0))"
+    return f"CASE WHEN {t} IS NOT NULL AND ({nu}) > 0 THEN 1 - CASE WHEN ({nu}) % 2 = 0 THEN {even} ELSE {odd} END END"
+
+
+def chi2_upper(x: str, dof: str) -> str:
+    """P(X > x) of chi-square: one minus the series of the lower incomplete gamma function."""
+    a, h = f"(({dof}) / 2.0)", f"(({x}) / 2.0)"
+    terms = f"list_sum(list_transform(range(0, 400), lambda k: exp(k * ln({h}) + lgamma({a} + 1) - lgamma({a} + k + 1.0))))"
+    return f"1 - exp({a} * ln({h}) - {h} - lgamma({a} + 1)) * {terms}"

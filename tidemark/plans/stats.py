@@ -13,7 +13,7 @@ from tidemark.operators.blocks import BLOCK_ROWS, block_window, full, with_posit
 from tidemark.plans import evaluation as PE, joins as PJ
 from tidemark.plans.features import RETS, TARGETS, rounded
 from tidemark.plans.registry import query
-from tidemark.plans.sql import BARS, full as sfull, with_
+from tidemark.plans.sql import BARS, full as sfull, with_, chi2_upper, t_two_sided
 from tidemark.session import settle
 
 HAC_LAG = 96
@@ -78,10 +78,15 @@ def linregress(spark, sf):
     return fit_out(ST.linear_fit(PJ.settlements(spark, sf), ["symbol"], "f_z", "r_6"), "symbol")
 
 
-@query("linregress_p")
+@query(
+    "linregress_p",
+    PERSQL
+    + f", q AS (SELECT symbol, {FIT} FROM (SELECT symbol, f_z AS x, r_6 AS y FROM per) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1) SELECT symbol, {FIT_OUT}, {r_(t_two_sided('slope / stderr', 'n - 2'), 'p_value', 8)} FROM q",
+)
 def linregress_p(spark, sf):
-    """Slope test with its p-value (a Student tail, which SQL lacks)."""
-    return ST.with_t_p(ST.linear_fit(PJ.settlements(spark, sf), ["symbol"], "f_z", "r_6"))
+    """Slope test with its p-value."""
+    d = ST.with_t_p(ST.linear_fit(PJ.settlements(spark, sf), ["symbol"], "f_z", "r_6"))
+    return fit_out(d, "symbol", (F.round("p_value", 8) + 0.0).alias("p_value"))
 
 
 RANKS = """
@@ -142,21 +147,23 @@ kg AS (SELECT symbol, g, sum(rk) AS rs, count(*) AS ng FROM kr GROUP BY 1, 2),
 kt AS (SELECT symbol, sum(c) AS n, sum(CAST(c AS DOUBLE)^3 - c) AS ties FROM (SELECT symbol, v, count(*) AS c FROM kin GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query(
-    "kruskal",
+KRUSKAL = (
     PSQL
-    + f", {QCUT4}, kin AS (SELECT symbol, v, bucket AS g FROM b4), {KW} SELECT kg.symbol, {r_('(12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / ng) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (CAST(any_value(n) AS DOUBLE)^3 - any_value(n)))', 'h', 6)}, count(*) - 1 AS dof, CAST(any_value(n) AS BIGINT) AS n FROM kg JOIN kt ON kt.symbol = kg.symbol GROUP BY 1",
+    + f", {QCUT4}, kin AS (SELECT symbol, v, bucket AS g FROM b4), {KW} SELECT kg.symbol, {r_('(12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / ng) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (CAST(any_value(n) AS DOUBLE)^3 - any_value(n)))', 'h', 6)}, count(*) - 1 AS dof, CAST(any_value(n) AS BIGINT) AS n FROM kg JOIN kt ON kt.symbol = kg.symbol GROUP BY 1"
 )
+
+
+@query("kruskal", KRUSKAL)
 def kruskal(spark, sf):
     d = panel(spark, sf).filter("abs_r_12 is not null and f_absz is not null")
     return rounded(ST.kruskal(SC.bucketed(d, ["symbol"], "f_absz", 4), ["symbol"], "abs_r_12", "bucket"))
 
 
-@query("kruskal_p")
+@query("kruskal_p", f"SELECT *, {r_(chi2_upper('h', 'dof'), 'p_value', 6)} FROM ({KRUSKAL})")
 def kruskal_p(spark, sf):
-    """The same with the chi-square tail."""
+    """The same with the chi-square tail of the rounded statistic."""
     d = panel(spark, sf).filter("abs_r_12 is not null and f_absz is not null")
-    return ST.with_chi2_p(ST.kruskal(SC.bucketed(d, ["symbol"], "f_absz", 4), ["symbol"], "abs_r_12", "bucket"))
+    return rounded(ST.with_chi2_p(rounded(ST.kruskal(SC.bucketed(d, ["symbol"], "f_absz", 4), ["symbol"], "abs_r_12", "bucket"))))
 
 
 @query(
