@@ -11,11 +11,13 @@ here splits a key's rows into blocks of bounded size first:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 1024
+MOST_ROWS = BLOCK_ROWS + 768 + 288  # with the longest look-back and look-ahead
 
 
 def micros(ts: Column | str) -> Column:
@@ -103,6 +105,8 @@ def ema(x: Column, alpha: float, w, seed: int = 0) -> Column:
     the start value has faded by ``(1-a)^halo`` before the first owned row, far below one unit in
     the last place for the halo used here.
     """
+    if MOST_ROWS * -math.log(1.0 - alpha) > 700:
+        raise ValueError("alpha is too large for the rows of a block: the powers would overflow")
     d = F.lit(1.0 - alpha)
     idx, pos = F.col("idx"), F.col("pos")
     share = F.when(pos == F.greatest(F.col("start"), F.lit(seed)), F.lit(1.0)).otherwise(F.lit(alpha))

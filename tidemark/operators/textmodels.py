@@ -50,12 +50,10 @@ def newest_share(rows: DataFrame, order: str, share: float = 0.1) -> DataFrame:
     """
     from tidemark.operators.ranks import ordered_counts
 
-    d = rows.withColumn("_all", F.lit(0))
-    ranks = ordered_counts(d, ["_all"], order).select(order, "below")
-    n = d.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    j = d.join(n, "_all").join(ranks, order)
-    return j.withColumn("part", F.when(F.col("below") >= cut, "val").otherwise("train")).drop("_all", "_n", "below")
+    n = rows.count()
+    ranks = ordered_counts(rows.select(order, F.lit(0).alias("_all")), ["_all"], order)
+    cut = ranks.filter(F.col("below") >= n - max(1, int(n * share))).agg(F.min(order)).first()[0]
+    return rows.withColumn("part", F.when(F.col(order) >= F.lit(cut), "val").otherwise("train"))
 
 
 def class_report(scored: DataFrame, label: str) -> DataFrame:
