@@ -60,10 +60,10 @@ def test_probabilities_add_up_to_one(spark, make_docs):
     m.top[:] = rng.normal(size=m.top.shape)
     m.inner[:] = rng.normal(size=m.inner.shape)
     ev = M.events(np.array([3 << 8 | 7, -1 << 8 | 9, 5 << 8 | 1]), np.array([0]))
-    p = m.class_probs(ev["top"])
-    assert np.allclose(p.sum(1), 1)
-    inner = m.word_probs(ev["inner"][:, [0, 2]], ev["cls"][[0, 2]])
-    assert np.allclose(inner.sum(1), 1) and (inner[:, int(m.sizes[0]) :] == 0).all()
+    odds = m.class_odds(ev["top"])
+    assert np.isclose(sum(M._share(odds, np.full(3, k)) for k in range(M.CLASSES)), 1).all()
+    inner = m.word_odds(ev["inner"][:, [0, 2]], ev["cls"][[0, 2]])
+    assert np.isclose(sum(M._share(inner, np.full(2, k)) for k in range(M.SLOTS)), 1).all() and (inner[:, int(m.sizes[0]) :] == 0).all()
     # words of a rare class and its one unseen kind share the class
     rare = [r for r in table.collect()]
     top = set(c.keys[: c.out].tolist())

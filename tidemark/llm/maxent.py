@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -125,7 +126,8 @@ def hashed(*parts: np.ndarray | int) -> np.ndarray:
     for p in parts:
         out = (out ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         out = out ^ (out >> np.uint64(31))
-    return (out % np.uint64(ROWS - 1)).astype(np.int64) + 1  # row 0 is the bias
+    # the top bits number the rows; row 0 is the bias
+    return np.maximum((out >> np.uint64(65 - ROWS.bit_length())).astype(np.int64), 1)
 
 
 def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
@@ -145,8 +147,8 @@ def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
     i1, i2, i3 = (back(ident, k, OUT + 64) for k in (1, 2, 3))
     e1, e2 = (back(end, k, 64) for k in (1, 2))
-    top = [np.zeros(len(codes), np.int64), hashed(1, i1), hashed(2, e1), hashed(3, i1, i2), hashed(4, i2), hashed(5, i3)]
-    inner = [hashed(6, cls), hashed(7, e1, cls), hashed(8, e2, cls), hashed(9, i1, cls)]
+    top = [hashed(1, i1), hashed(2, e1), hashed(3, i1, i2), hashed(4, i2), hashed(5, i3)]
+    inner = [hashed(7, e1, cls), hashed(8, e2, cls), hashed(9, i1, cls)]
     return {"cls": cls, "slot": slot, "known": known, "top": np.stack(top), "inner": np.stack(inner)}
 
 
@@ -167,17 +169,14 @@ class Model:
         prior[np.arange(SLOTS) >= self.sizes[:, None]] = -np.inf
         self.prior_inner = prior.astype(np.float32)
 
-    def class_probs(self, rows: np.ndarray) -> np.ndarray:
-        z = self.prior_top + self.top[rows[0]]
-        for r in rows[1:]:
-            z += self.top[r]
-        return _softmax(z)
+    def class_odds(self, rows: np.ndarray) -> np.ndarray:
+        """exp of the class scores, up to a factor a row."""
+        z = np.repeat((self.prior_top + self.top[0])[None], rows.shape[1], axis=0)
+        return _odds(z, self.top, rows)
 
-    def word_probs(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        z = self.prior_inner[cls]
-        for r in rows:
-            z += self.inner[r]
-        return _softmax(z)
+    def word_odds(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """exp of the word scores inside the class, up to a factor a row."""
+        return _odds((self.prior_inner + self.inner[CLASS_ROWS])[cls], self.inner, rows)
 
     def log10(self, ev: dict[str, np.ndarray]) -> np.ndarray:
         """log10 P(class) and, for words with a slot, + log10 P(word | class), token by token."""
@@ -185,55 +184,65 @@ class Model:
         for i in range(0, len(out), CHUNK):
             at = slice(i, i + CHUNK)
             cls = ev["cls"][at]
-            p = self.class_probs(ev["top"][:, at])[np.arange(len(cls)), cls].astype(float)
+            p = _share(self.class_odds(ev["top"][:, at]), cls)
             k = np.flatnonzero(ev["known"][at])
             if len(k):
-                p[k] *= self.word_probs(ev["inner"][:, at][:, k], cls[k])[np.arange(len(k)), ev["slot"][at][k]]
+                p[k] *= _share(self.word_odds(ev["inner"][:, at][:, k], cls[k]), ev["slot"][at][k])
             out[at] = np.log10(np.maximum(p, 1e-30))
         return out
 
     def step(self, ev: dict[str, np.ndarray], rng: np.random.Generator, seen: list[np.ndarray]) -> None:
         """One gradient step over some tokens; ``seen`` counts the moves of each weight, which shorten its steps."""
         cls = ev["cls"]
-        self._move(self.top, seen[0], self.class_probs(ev["top"]), ev["top"], cls, rng)
+        self._move(self.top, seen[0], self.class_odds(ev["top"]), ev["top"], cls, None, rng)
         k = np.flatnonzero(ev["known"])
         if len(k):
             rows = ev["inner"][:, k]
-            self._move(self.inner, seen[1], self.word_probs(rows, cls[k]), rows, ev["slot"][k], rng)
+            self._move(self.inner, seen[1], self.word_odds(rows, cls[k]), rows, ev["slot"][k], cls[k], rng)
 
     @staticmethod
-    def _move(table: np.ndarray, seen: np.ndarray, p: np.ndarray, rows: np.ndarray, there: np.ndarray, rng: np.random.Generator) -> None:
+    def _move(table: np.ndarray, seen: np.ndarray, odds: np.ndarray, rows: np.ndarray, there: np.ndarray, cls: np.ndarray | None, rng: np.random.Generator) -> None:
         width = table.shape[1]
-        c = np.cumsum(p, axis=1)
-        drawn = np.minimum((c < rng.random((len(p), 1), np.float32) * c[:, -1:]).sum(1), width - 1)
+        c = np.cumsum(odds, axis=1)
+        drawn = np.minimum((c < rng.random((len(c), 1), np.float32) * c[:, -1:]).sum(1), width - 1)
         differ = drawn != there
-        base = rows[:, differ] * width
+        bias = np.zeros(int(differ.sum()), np.int64) if cls is None else CLASS_ROWS[cls[differ]]
+        base = np.vstack([bias[None], rows[:, differ]]) * width
         flat = table.reshape(-1)
         for sign, at in ((1.0, (base + there[differ]).ravel()), (-1.0, (base + drawn[differ]).ravel())):
             np.add.at(seen, at, np.float32(1))
             np.add.at(flat, at, (sign * RATE / np.sqrt(seen[at] + DAMP)).astype(np.float32))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+CLASS_ROWS = hashed(6, np.arange(OUT // SLOTS))  # the rows of the classes' own weights
+
+
+def _odds(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    part = np.empty_like(z)
+    for r in rows:
+        np.take(table, r, axis=0, out=part, mode="clip")
+        z += part
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return np.exp(z, out=z)
+
+
+def _share(odds: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return odds[np.arange(len(of)), of].astype(float) / odds.sum(axis=1, dtype=float)
 
 
 def _coded(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     words = [tokens(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.fromiter((c for w in words for c in map(vocab.__getitem__, w)), np.int64, int(sizes.sum()))
+    codes = np.fromiter(map(vocab.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     return codes, np.r_[0, np.cumsum(sizes)[:-1]], words
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts have some 4 MB together, one at least."""
+    """Rows whose texts have some MB together, one at least."""
     size = np.cumsum([len(t or b"") for t in raw(b, "text")])
     at = 0
     while at < b.num_rows:
-        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + (4 << 20), side="right"))
+        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right"))
         upto = max(upto, at + 1)
         yield b.slice(at, upto - at)
         at = upto
