@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,6 +31,18 @@ def lower(raw: bytes | None) -> bytes:
     return (raw or b"").lower()
 
 
+@contextmanager
+def steady() -> Iterator[None]:
+    """No search for reference cycles meanwhile: caches of many small objects would be walked again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def over_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None], start: Callable[[], Callable] | None = None) -> DataFrame:
     """``fn`` on slices of at most ``SLICE`` rows; it returns columns by name.
 
@@ -40,7 +54,8 @@ def over_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict
         work = start() if start else fn
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
-                got = work(b.slice(i, SLICE))
+                with steady():
+                    got = work(b.slice(i, SLICE))
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
