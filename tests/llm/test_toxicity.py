@@ -63,3 +63,24 @@ def test_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in X.toxicity(make_docs(["a b", None]), none).collect()] == [(0.0, 0)] * 2
     assert X.toxicity(make_docs(["a"]).limit(0), none).count() == 0
+
+
+def test_few_toxic_words_in_every_language(spark, make_docs):
+    rnd = random.Random(8)
+    syl = {"en": ["the", "ing", "er", "on"], "fr": ["que", "eau", "ois", "lle"], "de": ["sch", "ung", "ein", "ach"], "es": ["cion", "ado", "ll", "que"]}
+    rude = {"en": ["scumbo", "vexxu"], "fr": ["zutrix", "zutrox"], "de": ["kwarg", "kwurg"], "es": ["jopaz", "jopuz"]}
+    rows, labels = [], {}
+    for i in range(1600):
+        lang = rnd.choice(["en", "en", "fr", "de", "es"])
+        words = ["".join(rnd.choice(syl[lang]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(60, 200))]
+        labels[i] = int(rnd.random() < 0.15)
+        if labels[i]:
+            for _ in range(len(words) // 50 + 1):  # about two words in a hundred
+                words[rnd.randrange(len(words))] = rnd.choice(rude[lang]) + rnd.choice(syl[lang])
+        rows.append((i, " ".join(words), lang, "src0"))
+    got = {r.doc_id: r for r in X.toxicity(make_docs(rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    held = [(d, lang) for d, _, lang, _ in rows if got[d].held_out]
+    for want in syl:
+        toxic = [got[d].predicted for d, lang in held if lang == want and labels[d]]
+        clean = [got[d].predicted for d, lang in held if lang == want and not labels[d]]
+        assert len(toxic) >= 5 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.05 * len(clean), want

@@ -2,8 +2,9 @@
 
 Both models share their lower orders: continuation counts of all training texts. Only the highest order is counted per
 class, so an expression that neither class has seen falls back to the same shared estimate twice and moves no score.
-A document's score is its log-likelihood ratio, toxic against ordinary, per character, put on a probability scale by a
-logistic curve fitted on labelled rows that were not counted.
+Most words of a toxic text are ordinary, so a document counts what stands out: the part of each word's log-likelihood
+ratio, toxic against ordinary, above a margin, per word. Margin and the logistic curve that puts this on a probability
+scale are fitted on labelled rows that were not counted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ ORDER = 4  # characters of an n-gram
 DISCOUNT = 0.75
 MAX_PER_CLASS = 8192  # labelled rows of a class that are drawn for fitting, by hash of the id
 CACHED = 1 << 18  # words with their ratios held by a process
+MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)  # tried on the calibration part
 FOLDS = 5  # documents with crc32(doc_id) mod 5 = 0 are held out
 START, STOP = "\x02", "\x03"
 
@@ -99,9 +101,9 @@ class _Words(dict):
         return got
 
 
-def text_ratio(words: list[str], by_word: dict[str, float]) -> float:
-    """Log-likelihood ratio per character, word ends included; 0 without words."""
-    return sum(map(by_word.__getitem__, words)) / (sum(map(len, words)) + len(words)) if words else 0.0
+def text_ratio(words: list[str], by_word: dict[str, float], margin: float) -> float:
+    """What the words' log-likelihood ratios have above ``margin``, per word; 0 without words."""
+    return sum(r - margin for r in map(by_word.__getitem__, words) if r > margin) / len(words) if words else 0.0
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> dict[tuple[str, int], int]:
@@ -117,16 +119,21 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> dict[tuple[str, int], i
     return {(r.gram, r.label): r.n for r in rows.toLocalIterator()}
 
 
-def ratios(docs: DataFrame, model: SharedKneserNey, keep: str = "doc_id long") -> DataFrame:
-    """(doc_id, ratio) of whole texts."""
+def ratios(docs: DataFrame, model: SharedKneserNey, margins: tuple[float, ...], keep: str = "doc_id long") -> DataFrame:
+    """(doc_id, ratios) of whole texts, one ratio a margin."""
     name = keep.split()[0]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was counted on
 
     def start():
         by = _Words(shipped.value)
-        return lambda b: {name: b.column(name), "ratio": [text_ratio(doc_words(t), by) for t in b.column("text").to_pylist()]}
 
-    return over_batches(docs.select(name, "text"), f"{keep}, ratio double", None, start)
+        def run(b: pa.RecordBatch) -> dict:
+            split = map(doc_words, b.column("text").to_pylist())
+            return {name: b.column(name), "ratios": [[text_ratio(w, by, m) for m in margins] for w in split]}
+
+        return run
+
+    return over_batches(docs.select(name, "text"), f"{keep}, ratios array<double>", None, start)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -143,6 +150,18 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return float(b[0]), float(b[1])
 
 
+def best_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[int, float, float]:
+    """(column of ``x``, slope, offset) of the curve over the root of one column that explains ``y`` best; of equal ones the first.
+
+    The root keeps a few glaring texts from pulling the curve away from those with one or two such words.
+    """
+    found = []
+    for i, c in enumerate(np.sqrt(x).T):
+        slope, offset = logistic(c, y, w)
+        found.append((float((w * np.logaddexp(0, np.where(y == 1, -1, 1) * (c * slope + offset))).sum()), i, slope, offset))
+    return min(found)[1:]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, label, part) of at most ``most`` labelled rows a class outside the held-out fold, and the class sizes.
 
@@ -168,20 +187,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_PER_CLASS) -> D
     """(doc_id, held_out, ratio, score, predicted) of every row of ``docs``.
 
     Labels are learned only outside the held-out fold; three quarters of the drawn texts are counted, one quarter fits
-    the curve, with the classes weighted to their true sizes. Without rows of both classes every score is 0. NULL and
+    the margin and the curve, with the classes weighted to their true sizes. Without rows of both classes every score is 0. NULL and
     blank texts have ratio 0; a NULL doc_id is not held out; repeated rows give repeated scores. Only doc_id and text
     of ``docs`` are read.
     """
     sample, sizes = labelled_sample(docs, labels, most)
     held = F.coalesce(fold("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out")
     model = SharedKneserNey(gram_counts(sample.where("part > 0")))
-    fitted = [(r.label, r.ratio) for r in ratios(sample.where("part = 0").withColumn("label", F.col("label").cast("long")), model, "label long").collect()]
-    y, x = np.array([k for k, _ in fitted], float), np.array([v for _, v in fitted])
-    out = ratios(docs, model)
+    calibration = sample.where("part = 0").withColumn("label", F.col("label").cast("long"))
+    fitted = [(r.label, r.ratios) for r in ratios(calibration, model, MARGINS, "label long").collect()]
+    y, x = np.array([k for k, _ in fitted], float), np.array([v for _, v in fitted]).reshape(-1, len(MARGINS))
     if len(set(y)) < 2:
+        out = ratios(docs, model, MARGINS[:1]).select("doc_id", F.col("ratios")[0].alias("ratio"))
         return out.select("doc_id", held, "ratio", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     share = {k: sizes[k] / max((y == k).sum(), 1) for k in (0, 1)}
     w = np.where(y == 1, share[1], share[0])
-    slope, offset = logistic(x, y, w / w.mean())
-    score = 1 / (1 + F.exp(-(F.col("ratio") * slope + offset)))
+    best, slope, offset = best_curve(x, y, w / w.mean())
+    out = ratios(docs, model, MARGINS[best : best + 1]).select("doc_id", F.col("ratios")[0].alias("ratio"))
+    score = 1 / (1 + F.exp(-(F.sqrt("ratio") * slope + offset)))
     return out.select("doc_id", held, "ratio", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
