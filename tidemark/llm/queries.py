@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, prefixcount, rules, simhash, toxicity
+from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, prefixcount, rules, simhash, slots, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -74,5 +74,11 @@ def op10(spark, sf):
     return maxent.scores(table(spark, sf, "documents"))
 
 
+@query("op11_virtual_slots")
+def op11(spark, sf):
+    """Shard and place of every document."""
+    return slots.sharded(table(spark, sf, "documents")).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot", *slots.law())
+
+
 def load():
     return QUERIES, ORACLES
