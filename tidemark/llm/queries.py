@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, prefixcount, rules, simhash, slots, toxicity
+from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, permuterm, prefixcount, rules, simhash, slots, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -80,5 +80,11 @@ def op11(spark, sf):
     return slots.sharded(table(spark, sf, "documents")).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot", *slots.law())
 
 
+@query("op12_permuterm_variants", permuterm.SQL)
+def op12(spark, sf):
+    """Words, their spelling variants and the word these lead to."""
+    return permuterm.variants(table(spark, sf, "documents"))
+
+
 def load():
     return QUERIES, ORACLES
