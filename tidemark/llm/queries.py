@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, maxent, mix, nbest, passages, permindex, permuterm, prefixcount, rules, simhash, slots, toxicity
+from tidemark.llm import langid, manifest, maxent, mix, nbest, passages, permindex, permuterm, prefixcount, rules, simhash, slots, toxicity
 from tidemark.llm.base import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -86,5 +86,11 @@ def op12(spark, sf):
     return permuterm.variants(table(spark, sf, "documents"))
 
 
+@query("op13_octopus_manifest", manifest.SQL)
+def op13(spark, sf):
+    """Merkle root of the documents, every row's proof, and whether the row as seen still leads to the root."""
+    return manifest.manifest(table(spark, sf, "documents"))
+
+
 def load():
     return QUERIES, ORACLES
