@@ -103,22 +103,45 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("budget", [10**9, 4])
-def test_near_duplicates_equal_the_greedy_walk(spark, budget, monkeypatch):
-    parked = []
-    park = D.park
+@pytest.mark.parametrize(("load", "first", "block"), [(10**9, 256, 1024), (1, 16, 1024), (0, 32, 3)])
+def test_near_duplicates_equal_the_greedy_walk(spark, load, first, block, monkeypatch):
+    ends = []
+    batch_end = D.batch_end
 
     def watched(*args):
-        post, p = park(*args)
-        parked.append(p is not None and p.count() > 0)
-        return post, p
+        ends.append(batch_end(*args))
+        return ends[-1]
 
-    monkeypatch.setattr(D, "park", watched)
+    monkeypatch.setattr(D, "batch_end", watched)
+    monkeypatch.setattr(D, "BLOCK", block)
     texts = near_copies()
     d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
-    got = sorted(r.i for r in D.drop_near_duplicates(d, "i", "text", 0.85, ["w0"], budget).collect())
+    got = sorted(r.i for r in D.drop_near_duplicates(d, "i", "text", 0.85, ["w0"], load, first).collect())
     assert got == greedy(texts, 0.85, {"w0"})
-    assert parked == [budget == 4]
+    assert ends[-1] is None and (len(ends) == 1) == (load == 10**9)
+
+
+def test_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """400 near copies in a row: each meets the first of its batch, not all the others."""
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(400)]
+    base = list(rng.choice(words, 60, replace=False))
+    texts = []
+    for i in range(400):
+        gone = {i % 60, (i + 1 + i // 60) % 60}
+        texts.append(" ".join(w for k, w in enumerate(base) if k not in gone))
+    pairs = []
+    candidates = D.candidates
+
+    def counted(*args):
+        out = candidates(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "candidates", counted)
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    assert [r.i for r in D.drop_near_duplicates(d, "i", "text", 0.85, [], 1, 16).collect()] == [0]
+    assert sum(pairs) < 1500
 
 
 def test_spearman_and_kruskal_by_hand(spark):

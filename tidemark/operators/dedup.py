@@ -3,20 +3,18 @@
 Similarity is TF-IDF cosine. The answer is that of walking the items in order, found without a walk:
 
 1. Items with the same token multiset collapse to the first; the copies only count in the IDF.
-2. Prefix filter: with terms in one global order (rare first), two vectors of cosine >= threshold
-   share a term before the point where the rest of either vector is shorter than the threshold. Only
-   those head terms make pairs, and a bound on the rest discards most of them before the full
-   cosine is taken, so no pair is lost and few are computed.
-3. Large groups of near copies are folded before pairs are made: an item similar to the first item
-   of one of its term lists is *parked* under it. This is linear in the lists.
-4. The first-come rule is resolved on the remaining similarity graph, in rounds.
-5. A parked item whose leader was not kept is compared with the kept items; if none is similar, it
-   returns to the graph and step 4 is repeated. When none returns, the kept set satisfies the rule
-   for every item, and there is only one such set.
+2. Prefix filter: with terms in one global order (rare first), two vectors of cosine >= threshold share a term before
+   the point where the rest of either vector is shorter than the threshold. Only those head terms make pairs, and a
+   bound on the rest discards most of them before the full cosine is taken, so no pair is lost and few are computed.
+3. A long term list is cut into blocks, and every pair of blocks is a job of its own.
+4. Items are decided in order, in batches as long as their own term lists make a number of pairs in proportion to the
+   entries of all lists. The first-come rule is resolved inside the batch; what it keeps is kept for good and drops the
+   later items it is similar to. A group of near copies is met by its first member only, so it never makes all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -26,8 +24,11 @@ from tidemark.session import settle
 
 # Similarity bar and token shape (runs of two or more word characters).
 THRESHOLD = 0.85
-HEAD = 0.88  # length of the tail left out of the lists, as a share of the threshold
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+HEAD = 0.88  # length of the tail left out of the lists, as a share of the threshold
+BLOCK = 1024  # entries of a term list that one join cell holds from either side
+BATCH_LOAD = 64  # pairs per list entry that a batch may make
+FIRST = 256  # items of the smallest batch
 
 
 def default_stop_words(spark: SparkSession) -> list[str]:
@@ -67,15 +68,31 @@ def prefixes(vec: DataFrame, bound: float) -> DataFrame:
     return d.withColumn("s", s).filter(~tail).select("ord", "term", "w", "s")
 
 
+def in_cells(post: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """``post`` with ``cell``: a list of m entries is cut into blocks, and every pair of blocks is a cell of its own.
+
+    ``sizes`` has (term, own, other): blocks of this side and of the other. An entry goes to one cell per block of the
+    other side, so a list that a third of all items hold is many joins of two blocks, not one of all its entries.
+    """
+    mine = F.pmod(F.xxhash64("ord"), F.col(own))
+    j = post.join(sizes, "term")
+    there = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("_there")
+    d = j.select("*", mine.alias("_mine"), there)
+    cell = F.struct(F.col("_mine").alias("a"), F.col("_there").alias("b")) if own == "left" else F.struct(F.col("_there").alias("a"), F.col("_mine").alias("b"))
+    return d.withColumn("cell", cell).drop("left", "right", "_mine", "_there")
+
+
 def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (lo, hi) of an item of ``a`` and one of ``b`` that can still reach the threshold.
+    """Pairs (lo, hi) of an item of ``a`` and a later one of ``b`` that can still reach the threshold.
 
     With p the product over shared head terms, the rest is at most the tail of the item whose head
     ends first times what the other item has left after the shared terms.
     """
-    x = a.select(F.col("ord").alias("x"), "term", F.col("w").alias("wx"), F.col("s").alias("sx"))
-    y = b.select(F.col("ord").alias("y"), "term", F.col("w").alias("wy"), F.col("s").alias("sy"))
-    g = x.join(y, "term").filter("x <> y").groupBy("x", "y").agg(
+    blocks = lambda df, c: df.groupBy("term").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias(c))
+    sizes = settle(blocks(a, "left").join(blocks(b, "right"), "term"))
+    x = in_cells(a, sizes, "left", "right").select(F.col("ord").alias("x"), "term", "cell", F.col("w").alias("wx"), F.col("s").alias("sx"))
+    y = in_cells(b, sizes, "right", "left").select(F.col("ord").alias("y"), "term", "cell", F.col("w").alias("wy"), F.col("s").alias("sy"))
+    g = x.join(y, ["term", "cell"]).filter("x < y").groupBy("x", "y").agg(
         F.sum(F.col("wx") * F.col("wy")).alias("p"), F.sum(F.col("wx") ** 2).alias("mx"), F.sum(F.col("wy") ** 2).alias("my"),
         F.max("sx").alias("sx"), F.max("sy").alias("sy"),
     )
@@ -84,8 +101,7 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
         return F.sqrt(F.greatest(1 - F.col(m), F.lit(0.0)))
 
     best = F.col("p") + F.greatest(F.col("sx") * left("my"), F.col("sy") * left("mx"))
-    ok = g.filter(best >= threshold - 1e-9)
-    return ok.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+    return g.filter(best >= threshold - 1e-9).select(F.col("x").alias("lo"), F.col("y").alias("hi"))
 
 
 def verified(cands: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
@@ -103,39 +119,30 @@ def verified(cands: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def pair_load(post: DataFrame) -> tuple[int, int]:
-    """Number of candidate pairs the term lists would make, and of list entries."""
-    m = F.col("m")
-    r = post.groupBy("term").agg(F.count(F.lit(1)).alias("m")).agg(
-        F.coalesce(F.sum(m * (m - 1) / 2), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(m), F.lit(0)).alias("entries")
-    )
-    row = r.first()
-    return row["pairs"], row["entries"]
+def batch_end(lists: DataFrame, load: int = BATCH_LOAD, first: int = FIRST) -> int | None:
+    """The last item of the next batch, None for all: the longest tried whose lists make few enough pairs.
 
-
-def park(lists: DataFrame, vec: DataFrame, threshold: float, budget: int) -> tuple[DataFrame, DataFrame | None]:
-    """Fold near copies under the first item of a shared term list until few enough pairs remain.
-
-    Returns the active (ord, term) lists and the (hi, lo) parking table. Each round takes the next
-    item of every list as leader, so it always gets on; the loop ends at the latest when every list
-    has had all its items as leaders.
+    Batches are tried at doubling numbers of items; entries are counted per term and step, so a list is a few rows.
     """
-    parked = led = None
-    post = lists
-    while True:
-        pairs, entries = pair_load(post)
-        if pairs <= budget * max(entries, 1):
-            return post, parked
-        fresh = post if led is None else post.join(led, ["term", "ord"], "left_anti")
-        leaders = settle(fresh.groupBy("term").agg(F.min("ord").alias("lo")))
-        if leaders.isEmpty():
-            return post, parked
-        cands = post.join(leaders, "term").filter("ord > lo").select("lo", F.col("ord").alias("hi")).distinct()
-        new = settle(verified(cands, vec, threshold).groupBy("hi").agg(F.min("lo").alias("lo")))
-        parked = new if parked is None else parked.unionByName(new)
-        post = lists.join(parked.select(F.col("hi").alias("ord")), "ord", "left_anti")
-        done = leaders.select("term", F.col("lo").alias("ord"))
-        led = done if led is None else led.unionByName(done)
+    n, entries = lists.agg(F.approx_count_distinct("ord"), F.count(F.lit(1))).first()
+    steps = max(0, math.ceil(math.log2(max(n, 1) / first)))
+    if not steps:
+        return None
+    shares = [2.0 ** (k - steps) for k in range(steps)]
+    ends = lists.select("ord").distinct().agg(F.percentile_approx("ord", shares, 10_000)).first()[0]
+    level = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("ord")))
+    per = lists.groupBy("term", level.alias("level")).agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(W.partitionBy("term").orderBy("level"))
+    before = per.withColumn("all", upto).withColumn("before", F.col("all") - F.col("m"))
+    pairs = before.groupBy("level").agg(F.sum((F.col("all") * (F.col("all") - 1) - F.col("before") * (F.col("before") - 1)) / 2).alias("pairs"))
+    made, end = 0.0, 0
+    got = {r.level: r.pairs for r in pairs.collect()}  # one row per step
+    for k in range(steps + 1):
+        made += got.get(k, 0.0)
+        if made > load * max(entries, 1):
+            break
+        end = k
+    return None if end == steps else ends[end]
 
 
 def first_come(edges: DataFrame) -> DataFrame:
@@ -159,12 +166,11 @@ def first_come(edges: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(
     items: DataFrame, order: str, text: str, threshold: float = THRESHOLD, stop_words: Sequence[str] | None = None,
-    pair_budget: int = 200,
+    load: int = BATCH_LOAD, first: int = FIRST,
 ) -> DataFrame:
     """Items that stay. ``order`` is a unique long; earlier reference texts simply come first.
 
-    ``pair_budget`` is the number of candidate pairs per list entry above which near copies are
-    folded first. It changes the work, not the answer.
+    ``load`` and ``first`` set the length of the batches. They change the work, not the answer.
     """
     stop = default_stop_words(items.sparkSession) if stop_words is None else list(stop_words)
     d = items.select(F.col(order).alias("ord"), tokens(F.col(text), stop).alias("toks"))
@@ -177,28 +183,19 @@ def drop_near_duplicates(
     vec = settle(weights(reps, n_docs))
     lists = settle(prefixes(vec, HEAD * threshold))
 
-    post, parked = park(lists, vec, threshold, pair_budget)
-    edges = None
-    fresh = post
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        return settle(verified(settle(candidates(a, b, threshold)), vec, threshold))
+
+    stay = blank
     while True:
-        # Pairs of the items that are new in the graph with everything in it.
-        new = verified(candidates(fresh, post, threshold), vec, threshold)
-        edges = settle(new if edges is None else edges.unionByName(new))
-        dropped = settle(first_come(edges))
-        if parked is None:
-            break
-        kept_post = post.join(dropped, "ord", "left_anti")
-        kept = kept_post.select(F.col("ord").alias("lo")).distinct()
-        lost = parked.select("hi").distinct().join(parked.join(kept, "lo", "left_semi").select("hi").distinct(), "hi", "left_anti")
-        q = lists.join(lost.select(F.col("hi").alias("ord")), "ord", "left_semi")
-        near = verified(candidates(kept_post, q, threshold).join(lost, "hi", "left_semi"), vec, threshold)
-        near = near.join(kept, "lo", "left_semi")
-        back = settle(lost.join(near, "hi", "left_anti"))
-        if back.isEmpty():
+        end = batch_end(lists, load, first)
+        batch = lists if end is None else lists.filter(F.col("ord") <= end)
+        dropped = settle(first_come(near(batch, batch)))
+        kept = settle(batch.join(dropped, "ord", "left_anti"))
+        stay = stay.unionByName(kept.select("ord").distinct())
+        if end is None:
             break
-        ids = back.select(F.col("hi").alias("ord"))
-        fresh = settle(lists.join(ids, "ord", "left_semi"))
-        parked = settle(parked.join(back, "hi", "left_anti"))
-        post = settle(post.unionByName(fresh))
-    stay = post.select("ord").distinct().join(dropped, "ord", "left_anti").unionByName(blank)
-    return items.join(stay.withColumnRenamed("ord", order), order, "left_semi")
+        later = lists.filter(F.col("ord") > end)
+        gone = near(kept, later).select(F.col("hi").alias("ord")).distinct()
+        lists = settle(later.join(gone, "ord", "left_anti"))
+    return items.join(settle(stay).withColumnRenamed("ord", order), order, "left_semi")
