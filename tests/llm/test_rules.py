@@ -42,9 +42,9 @@ def test_a_lone_row_has_a_short_path():
 
 
 def test_cut_follows_the_labels():
-    assert R.best_cut({}) == 1.0
+    assert R.best_cut({}) is None
     assert R.best_cut({(400, 1): 50, (700, 0): 5}) == 0.7
-    assert R.best_cut({(700, 1): 50, (700, 0): 5}) == 1.0
+    assert R.best_cut({(700, 1): 50, (700, 0): 5}) is None
 
 
 @pytest.fixture
@@ -73,4 +73,53 @@ def test_odd_rows(make_docs, spark):
     got = {r.doc_id: r for r in R.judged(docs.unionAll(docs), labels).collect()}
     assert not any(got[i].kept for i in range(len(TEXTS) + 1)) and got[len(TEXTS) + 1].kept
     assert R.judged(docs.limit(0), labels).count() == 0
-    assert R.keep_good(make_docs([(None, "w " * 60), (None, None), (3, None)]), labels).count() == 1
+    fine = " ".join(f"v{i}" for i in range(60))
+    odd = make_docs([(None, "w " * 60), (None, fine), (None, None), (3, None), (4, fine), (4, fine)], {"score": F.lit(1), "kept": F.lit("x")})
+    kept = R.keep_good(odd, labels)
+    assert kept.columns == odd.columns and sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 4), (False, 4), (True, None)]
+
+
+def test_few_clean_documents_all_stay(make_docs, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for n in range(1, 11):
+        docs = make_docs([" ".join(f"w{i}x{k}" for k in range(120)) for i in range(n)])
+        assert R.judged(docs, labels, trees=16).where("kept").count() == n
+        assert R.keep_good(docs, labels, trees=16).count() == n
+
+
+def path(x, nodes):
+    """Length of one row's path, walked node by node."""
+    at = 0
+    while nodes[at][0] >= 0:
+        f, cut, left, right, _ = nodes[at]
+        at = left if x[f] < cut else right
+    return nodes[at][4]
+
+
+def test_verdict_against_plain_code(corpus):
+    docs, labels = corpus
+    rows = {r.doc_id: R.statistics(r.text.encode()) for r in docs.collect()}
+    by_id = {}
+    for d, (n, chars, symbols, _, _, short, stops, top) in rows.items():
+        by_id[d] = [chars / n, symbols / max(chars, 1), short / n, stops / n, top / n]
+    stats = R.rule_counts(docs)
+    h = {r.doc_id: r.h for r in stats.select("doc_id", F.xxhash64(F.lit(R.SEED), "doc_id", *R.STATS).alias("h")).collect()}
+    pool = np.array([by_id[d] for d in sorted(by_id, key=h.get) if rows[d][0] >= 50 and 2 * rows[d][4] <= rows[d][0]])
+    trees = []
+    for t in range(24):
+        x, rng = R.draw(pool, t)
+        assert len(x) == -(-len(pool) // 4)
+        trees.append(R.grow(x, rng, int(np.ceil(np.log2(len(x))))))
+    size = len(x)
+    want = {d: 2 ** (-sum(path(x, t) for t in trees) / len(trees) / R.mean_path(size)) for d, x in by_id.items()}
+    got = {r.doc_id: r for r in R.judged(docs, labels, trees=24).collect()}
+    assert all(got[d].score == pytest.approx(want[d], abs=1e-12) for d in want)
+    quality = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    passed = [d for d in want if not got[d].base_failed]
+    good, bad = ([want[d] for d in passed if quality.get(d) == q] for q in (1, 0))
+
+    def gain(c):
+        return sum(int(s * 1000) >= c for s in bad) / len(bad) - 20 * sum(int(s * 1000) >= c for s in good) / len(good)
+
+    cut = max(range(1001), key=lambda c: (gain(c), c))
+    assert {d for d in got if got[d].kept} == {d for d in passed if gain(cut) <= 0 or int(want[d] * 1000) < cut}

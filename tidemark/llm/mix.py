@@ -98,15 +98,21 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX
 
 
 def copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, whole documents only, with all their columns."""
-    same = Window.partitionBy("__id", "__twin").orderBy(F.lit(0))
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    """The rows of ``docs`` as often as the mix takes them, whole documents only, with all their columns.
+
+    Equal rows (doc_id, text and source) share what is taken of them: each gets as many copies as the others, or one
+    more. Texts are moved once, to the rows' copies.
+    """
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    key = F.xxhash64("__id", "__twin")
     m = mixed(docs, whole=True, **how).select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin"), times.alias("__times"))
-    m = m.withColumn("__n", F.row_number().over(same)).where("__times > 0")
-    d = docs.select(docs["*"], F.col("doc_id").alias("__id"), F.xxhash64("text", "source").alias("__twin"))
-    d = d.withColumn("__n", F.row_number().over(same))
-    on = d["__id"].eqNullSafe(m["__id"]) & (d["__twin"] == m["__twin"]) & (d["__n"] == m["__n"])
-    return d.join(m, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), m["__times"]))).select(*(d[c] for c in docs.columns))
+    m = m.groupBy("__id", "__twin").agg(F.sum("__times").alias("__all"), F.count(F.lit(1)).alias("__rows")).where("__all > 0").withColumn("__key", key)
+    d = docs.select(docs["*"], F.col("doc_id").alias("__id"), F.xxhash64("text", "source").alias("__twin")).withColumn("__key", key)
+    on = (d["__key"] == m["__key"]) & d["__id"].eqNullSafe(m["__id"]) & (d["__twin"] == m["__twin"])
+    j = d.join(m, on).select(*(d[c] for c in docs.columns), d["__key"], d["__id"], d["__twin"], m["__all"], m["__rows"])
+    n = F.row_number().over(Window.partitionBy("__key", "__id", "__twin").orderBy(F.lit(0)))
+    mine = (F.floor(F.col("__all") / F.col("__rows")) + (n <= F.col("__all") % F.col("__rows")).cast("long")).cast("int")
+    return j.withColumn("__mine", mine).where("__mine > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mine")))).select(*docs.columns)
 
 
 SQL = r"""

@@ -8,18 +8,20 @@ on unusual means bad.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.base import over_batches, raw
+from tidemark.llm.base import SLICE, over_batches, raw
 from tidemark.session import settle
 
 TREES = 128
-SUBSAMPLE = 256  # rows of a tree; TREES * SUBSAMPLE rows of statistics at most are sampled, by hash of the id
+SUBSAMPLE = 256  # rows of a tree, drawn from a pool of at most TREES * SUBSAMPLE rows, taken by hash of the id
+SHARE = 4  # a tree draws at most one in so many rows of the pool, so that copies of a fault do not hide each other
 GOOD_COST = 20.0  # losing a good labelled row costs as much as keeping so many bad ones (as shares of their classes)
 BINS = 1000
 SEED = 20
@@ -112,25 +114,46 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(stats: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> list[np.ndarray]:
-    """Trees over a hash sample of ``trees * subsample`` rows, grown by the executors, one group a tree."""
+def draw(pool: np.ndarray, tree: int, subsample: int = SUBSAMPLE, seed: int = SEED) -> tuple[np.ndarray, np.random.Generator]:
+    """The rows of one tree, drawn without replacement, and the generator that goes on to cut them."""
+    rng = np.random.default_rng([seed, tree])
+    return pool[np.sort(rng.choice(len(pool), tree_rows(len(pool), subsample), replace=False))], rng
+
+
+def tree_rows(pool: int, subsample: int = SUBSAMPLE) -> int:
+    """Rows of a tree: ``subsample``, or a share of a small pool, two at least."""
+    return min(pool, subsample, max(2, -(-pool // SHARE)))
+
+
+def fit_forest(stats: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> tuple[list[np.ndarray], int]:
+    """The trees, grown by the executors from a hash sample of at most ``trees * subsample`` rows, and the rows of each.
+
+    Every tree draws its rows from the sample for itself.
+    """
     by = F.xxhash64(F.lit(seed), "doc_id", *STATS)
-    drawn = features(stats).select(by.alias("h"), *FEATURES).orderBy("h", *FEATURES).limit(trees * subsample)
-    dealt = drawn.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(trees)).cast("int"))
-    limit = int(np.ceil(np.log2(subsample)))
+    drawn = features(stats).select(by.alias("h"), *FEATURES).orderBy("h", *FEATURES).limit(trees * subsample).toPandas()
+    pool = drawn.sort_values(["h", *FEATURES])[FEATURES].to_numpy(float)  # 5 numbers a row: under 2 MB
+    size = tree_rows(len(pool), subsample)
+    if size < 2:
+        return [], size
+    limit = int(np.ceil(np.log2(size)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values(["h", *FEATURES])[FEATURES].to_numpy(float)
-        out = pd.DataFrame(grow(x, np.random.default_rng([seed, t]), limit), columns=["f", "cut", "l", "r", "len"])
-        return out.assign(tree=t, node=range(len(out)))
+    def some(frames):
+        for f in frames:
+            for t in f["id"]:
+                x, rng = draw(pool, t, subsample, seed)
+                out = pd.DataFrame(grow(x, rng, limit), columns=["f", "cut", "l", "r", "len"])
+                yield out.assign(tree=t, node=range(len(out)))
 
-    nodes = dealt.groupBy("tree").applyInPandas(one, "f int, cut double, l int, r int, len double, tree int, node int").toPandas()
-    return [g.sort_values("node")[["f", "cut", "l", "r", "len"]].to_numpy() for _, g in nodes.groupby("tree")]
+    ids = stats.sparkSession.range(trees)
+    nodes = ids.mapInPandas(some, "f int, cut double, l int, r int, len double, tree int, node int").toPandas()
+    return [g.sort_values("node")[["f", "cut", "l", "r", "len"]].to_numpy() for _, g in nodes.groupby("tree")], size
 
 
 def forest_score(x: np.ndarray, forest: list[np.ndarray], subsample: int) -> np.ndarray:
-    """2 ** -(mean path / expected path): near 1 for rows that stand alone early."""
+    """2 ** -(mean path / expected path): near 1 for rows that stand alone early; 0 without a forest."""
+    if not forest:
+        return np.zeros(len(x))
     total = np.zeros(len(x))
     rows = np.arange(len(x))
     for t in forest:
@@ -141,22 +164,22 @@ def forest_score(x: np.ndarray, forest: list[np.ndarray], subsample: int) -> np.
             low = x[rows, np.maximum(f[at], 0)] < cut[at]
             at = np.where(inner, np.where(low, left[at], right[at]), at)
         total += length[at]
-    return 2.0 ** (-total / max(len(forest), 1) / mean_path(subsample))
+    return 2.0 ** (-total / len(forest) / mean_path(subsample))
 
 
-def scored(stats: DataFrame, forest: list[np.ndarray], subsample: int = SUBSAMPLE) -> DataFrame:
+def scored(stats: DataFrame, forest: list[np.ndarray], size: int) -> DataFrame:
     """``stats`` with ``score``; 0 where there is no forest."""
     f = features(stats).select("doc_id", *STATS, *FEATURES)
 
     def run(b: pa.RecordBatch) -> dict:
         x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES])
-        return {**{c: b.column(c) for c in ["doc_id", *STATS]}, "score": forest_score(x, forest, subsample) if forest else np.zeros(len(x))}
+        return {**{c: b.column(c) for c in ["doc_id", *STATS]}, "score": forest_score(x, forest, size)}
 
     return over_batches(f, "doc_id long, " + ", ".join(f"{s} long" for s in STATS) + ", score double", run)
 
 
-def best_cut(counts: dict[tuple[int, int], int], good_cost: float = GOOD_COST) -> float:
-    """The score above which a row is rejected; 1 (reject none) unless the labels favour less.
+def best_cut(counts: dict[tuple[int, int], int], good_cost: float = GOOD_COST) -> float | None:
+    """The score from which a row is rejected; None (reject none) unless the labels favour one.
 
     ``counts`` has labelled rows by (score bin, quality). Of equally good cuts the highest counts.
     """
@@ -164,11 +187,25 @@ def best_cut(counts: dict[tuple[int, int], int], good_cost: float = GOOD_COST) -
     for (b, q), n in counts.items():
         (good if q else bad)[b] += n
     if not good.sum() or not bad.sum():
-        return 1.0
+        return None
     lost = lambda v: (v[::-1].cumsum()[::-1]) / v.sum()  # noqa: E731  share of rows in this bin or above
     gain = lost(bad) - good_cost * lost(good)
     b = BINS - int(np.argmax(gain[::-1]))
-    return b / BINS if gain[b] > 0 else 1.0
+    return b / BINS if gain[b] > 0 else None
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _fit(docs: DataFrame, labels: DataFrame, trees: int, subsample: int) -> tuple[DataFrame, list[np.ndarray], int, float | None]:
+    """Scored statistics of ``docs``, the forest with its rows a tree, and the cut."""
+    stats = settle(rule_counts(docs))
+    forest, size = fit_forest(stats.where(~_failed()), trees, subsample)
+    s = settle(scored(stats, forest, size))
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    bins = s.where(~_failed()).join(known, "doc_id").groupBy(F.floor(F.col("score") * BINS).cast("int").alias("b"), (F.col("quality") > 0).cast("int").alias("q")).count()
+    return s, forest, size, best_cut({(r.b, r.q): r["count"] for r in bins.collect()})  # at most 2 * (BINS + 1) rows
 
 
 def judged(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
@@ -176,27 +213,33 @@ def judged(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: in
 
     ``labels`` has (doc_id, quality); a document labelled twice counts with its lower value, NULL labels play no part.
     The forest samples rows that pass the base rule. A NULL or blank text fails the base rule; repeated rows give
-    repeated results; without rows of both labels nothing but the base rule rejects. Columns of ``docs`` besides
-    doc_id and text are not read.
+    repeated results, rows without doc_id are judged like any other; equal scores share a verdict; without rows of both
+    labels nothing but the base rule rejects. Columns of ``docs`` besides doc_id and text are not read.
     """
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = settle(rule_counts(docs))
-    forest = fit_forest(stats.where(~failed), trees, subsample)
-    s = settle(scored(stats, forest, subsample))
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bins = s.where(~failed).join(known, "doc_id").groupBy(F.floor(F.col("score") * BINS).cast("int").alias("b"), (F.col("quality") > 0).cast("int").alias("q")).count()
-    cut = best_cut({(r.b, r.q): r["count"] for r in bins.collect()})  # at most 2 * (BINS + 1) rows
-    return s.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.floor(F.col("score") * BINS) < int(round(cut * BINS))))
+    s, _, _, cut = _fit(docs, labels, trees, subsample)
+    good = F.lit(True) if cut is None else F.floor(F.col("score") * BINS) < round(cut * BINS)
+    return s.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & good)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
     """The documents that the rules and the forest keep, with all their columns.
 
-    A doc_id that stands on several rows goes as soon as one of its rows is rejected; rows without doc_id are judged
-    by the base rule alone, since no verdict can be joined to them.
+    Forest and cut are fitted first; then every row is judged by its own text where it is read, so nothing is joined or
+    shuffled. Rows without doc_id and rows that repeat one are judged like any other.
     """
-    named = judged(docs.where("doc_id is not null"), labels, **how)
-    out = named.groupBy(F.col("doc_id").alias("__id")).agg(F.every("kept").alias("__kept")).where("__kept").select("__id")
-    nameless = docs.where("doc_id is null")
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.join(out, docs.doc_id == out["__id"]).select(docs["*"]).unionByName(nameless.where(n >= 50))
+    _, forest, size, cut = _fit(docs, labels, trees, subsample)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, SLICE):
+                b = big.slice(i, SLICE)
+                v = np.array([statistics(t) for t in raw(b, "text")], float).reshape(-1, len(STATS))
+                n, chars, symbols, _, repeats, short, stops, top = v.T
+                ok = (n >= 50) & (100 * repeats <= 50 * n)
+                if cut is not None and ok.any():
+                    per = np.maximum(n, 1)
+                    x = np.column_stack([chars / per, symbols / np.maximum(chars, 1), short / per, stops / per, top / per])
+                    ok &= np.floor(forest_score(x, forest, size) * BINS) < round(cut * BINS)
+                yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
