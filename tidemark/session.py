@@ -67,6 +67,9 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_written: list[str] = []  # tables that settle has written and nobody has taken over, newest last
+
+
 def settle(df):
     """Compute ``df`` once: write it to the shared folder and go on from the written table.
 
@@ -75,4 +78,28 @@ def settle(df):
     """
     path = fresh_dir(df.sparkSession, "table")
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_since(mark: int) -> list[str]:
+    """Folders that ``settle`` has written since it had written ``mark`` (see ``mark``)."""
+    return _written[mark:]
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def discard(spark: SparkSession, paths: list[str], in_use) -> list[str]:
+    """Delete written tables, but those that the DataFrame ``in_use`` still reads; the latter are returned."""
+    from urllib.parse import unquote
+
+    read = [unquote(f) for f in in_use.inputFiles()] if paths else []
+    left = [p for p in paths if any(p in f for f in read)]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p not in left:
+            h = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            h.getFileSystem(conf).delete(h, True)
+    return left
