@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M, text as X
 from tidemark.operators import evaluation as E, funding as FU, news as N, screens as SC, splits as S, targets as Y, upserts as U
+from tidemark.operators import windows as WN
 from tidemark.operators.ranks import exact_quantiles, left_closed, right_closed
 from tidemark.sources import html as H, payloads as P
 from tidemark.sources.files import epoch_to_micros
@@ -114,8 +115,29 @@ def test_sliding_train_window(spark):
     assert [(r.train_pos, r.train_end_pos) for r in f] == [(3, 8), (8, 13), (13, 18), (18, 23)]
     d = rows.withColumn("pos", F.col("t") / DAY)
     ft = S.fold_table(rows, 10 * DAY, 5 * DAY, 2, 7 * DAY)
-    n = {r.fold: r["count"] for r in S.with_train_folds(d, ft).groupBy("fold").count().collect()}
-    assert n == {0: 5, 1: 5, 2: 5, 3: 5}
+    g = WN.grid(d, ft, ["symbol"], "t", "pos", "train_pos", "train_end_pos")
+    n = {r.fold: (r.n_rows, r.q1) for r in WN.quantiles(g, [0.5]).collect()}
+    assert n == {k: (5, (5 * k + 5) * DAY) for k in range(4)}
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_window_quantiles_against_numpy(spark, most, monkeypatch):
+    monkeypatch.setattr(WN, "MOST_RANGES", most)
+    rng = np.random.default_rng(4)
+    rows = [(k, int(i), float(v)) for k, n in (("a", 600), ("b", 40)) for i, v in enumerate(np.round(rng.normal(size=n), 1))]
+    rows += [("a", i, 7.0) for i in range(600, 900)] + [("a", 5, None), ("c", 1, 2.0)]
+    wins = [("a", f, int(lo), int(lo + rng.integers(0, 300))) for f, lo in enumerate(rng.integers(0, 900, 30))] + [("b", 0, -5, 100), ("b", 1, 7, 8), ("d", 0, 0, 9)]
+    d = spark.createDataFrame(rows, "k string, p long, v double")
+    w = spark.createDataFrame(wins, "k string, fold int, lo long, hi long")
+    g = WN.grid(d, w, ["k"], "v", "p", "lo", "hi", sums={"up": F.count(F.when(F.col("v") > 0, 1))})
+    inside = {(k, f): [v for kk, p, v in rows if kk == k and lo <= p < hi and v is not None] for k, f, lo, hi in wins}
+    want = {x: (len(v), *np.quantile(v, [0, 1 / 3, 0.9])) for x, v in inside.items() if v}
+    got = {(r.k, r.fold): (r.n_rows, r.q1, r.q2, r.q3) for r in WN.quantiles(g, [0, 1 / 3, 0.9]).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+    edges = spark.createDataFrame([(*x, float(e)) for x in want for e in (-9, -0.3, 0, 7, 8)], "k string, fold int, edge double")
+    for r in WN.below(g, edges).collect():
+        v = [x for x in inside[r.k, r.fold] if x < r.edge]
+        assert (r.n, r.up) == (len(v), sum(x > 0 for x in v))
 
 
 def test_majority_tie_goes_to_the_smaller_sign(spark):

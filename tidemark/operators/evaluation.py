@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.operators import ranks as R, splits as S
+from tidemark.operators import ranks as R, splits as S, windows as WN
 from tidemark.operators.blocks import from_micros
 from tidemark.tables import DAY
 
@@ -210,8 +210,8 @@ def coverage_calibration(quantile_folds: DataFrame, quantiles=(0.1, 0.9), tolera
 
 def regime_edges(rows: DataFrame, folds: DataFrame, axis: str) -> DataFrame:
     """Terciles of the axis over every fold's train rows."""
-    copies = S.with_train_folds(rows.select(S.KEY, "pos", axis), folds)
-    return R.exact_quantiles(copies, [S.KEY, "fold"], axis, [1 / 3, 2 / 3], out="edge").select(
+    g = WN.grid(rows.select(S.KEY, "pos", axis), folds, [S.KEY], axis, "pos", "train_pos", "train_end_pos")
+    return WN.quantiles(g, [1 / 3, 2 / 3], out="edge").select(
         S.KEY, "fold", F.col("edge1").alias("edge_lo"), F.col("edge2").alias("edge_hi")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.operators import evaluation as E, ranks as R, splits as S
+from tidemark.operators import evaluation as E, ranks as R, splits as S, windows as WN
 from tidemark.session import settle
 
 KEY = S.KEY
@@ -168,39 +168,35 @@ def bucket_marginal(
     """The same test for dated items: train = items whose target is known ``settle_us`` before the window.
 
     ``windows`` has (keys, fold, test_start, test_end) in microseconds; buckets are left-closed at the
-    train quantiles of the feature.
+    train quantiles of the feature. No item is copied per window that trains on it.
     """
-    win = windows.select(*keys, "fold", "test_start", "test_end")
-    ordered = win.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fold", "test_start", "test_end"))).alias("_w"))
-    d = items.join(ordered, [*keys])
-    t = F.col("t")
-    train = d.withColumn("_h", F.explode(F.filter("_w", lambda x: t + F.lit(settle_us) <= x["test_start"])))
-    test = d.withColumn("_h", F.explode(F.filter("_w", lambda x: (t >= x["test_start"]) & (t < x["test_end"]))))
-    train, test = (x.withColumn("fold", F.col("_h.fold")).drop("_h", "_w") for x in (train, test))
+    win = settle(windows.select(*keys, "fold", "test_start", "test_end"))
+    y = F.col(target)
+    ups = {"up": F.count(F.when(y > 0, 1)), "down": F.count(F.when(y < 0, 1))}
+    train = win.select(*keys, "fold", F.lit(-(1 << 62)).alias("_from"), (F.col("test_start") - F.lit(settle_us) + 1).alias("_until"))
+    g = WN.grid(items, train, keys, feature, "t", "_from", "_until", sums=ups)
     gk = [*keys, "fold"]
-    edges = settle(R.exact_quantiles(train, gk, feature, [i / q for i in range(1, q)], out="_e").filter(
-        F.col("n_rows") >= min_train
-    ))
+    edges = settle(WN.quantiles(g, [i / q for i in range(1, q)], out="_e").filter(F.col("n_rows") >= min_train))
     cuts = [F.col(f"_e{i}") for i in range(1, q)]
-    y = F.col(target)
-
-    def counts(x, p):
-        return (
-            x.join(edges, gk)
-            .withColumn("bucket", R.left_closed(F.col(feature), cuts))
-            .groupBy(*gk, "bucket")
-            .agg(
-                F.count(F.when(y > 0, 1)).alias(f"{p}up"),
-                F.count(F.when(y < 0, 1)).alias(f"{p}down"),
-                F.count(F.lit(1)).alias(f"{p}n"),
-            )
-        )
-
-    w = W.partitionBy(*gk)
-    tr = counts(train, "")
-    total = tr.groupBy(*gk).agg(*[F.sum(c).alias(f"all_{c}") for c in ("up", "down", "n")])
-    te = counts(test, "t_").join(total, gk).join(tr, [*gk, "bucket"], "left")
-    p_up = F.coalesce(F.col("up") / F.col("n"), F.col("all_up") / F.col("all_n"))
+    counted = ["up", "down", "n"]
+
+    # Train counts of a bucket: what is under its upper edge less what is under its lower one.
+    ordered = edges.select(*gk, F.posexplode(F.array_distinct(F.array(*cuts))).alias("_i", "edge"))
+    under = settle(WN.below(g, ordered).join(ordered, [*gk, "edge"]))
+    by_fold = settle(WN.by_range(g).groupBy(*gk).agg(*[F.sum(c).alias(f"all_{c}") for c in counted]).join(edges.select(*gk), gk))
+    last = under.groupBy(*gk).agg(F.max("_i").alias("_i")).withColumn("_i", F.col("_i") + 1).join(by_fold, gk)
+    tops = under.select(*gk, "_i", *counted).unionByName(last.select(*gk, "_i", *[F.col(f"all_{c}").alias(c) for c in counted]))
+    step = W.partitionBy(*gk).orderBy("_i")
+    tr = tops.select(*gk, "_i", *[(F.col(c) - F.coalesce(F.lag(c).over(step), F.lit(0))).alias(c) for c in counted])
+
+    hit = F.explode(F.filter("_w", lambda x: (F.col("t") >= x["test_start"]) & (F.col("t") < x["test_end"])))
+    lists = win.groupBy(*keys).agg(F.collect_list(F.struct("fold", "test_start", "test_end")).alias("_w"))
+    test = items.filter(F.col(feature).isNotNull()).join(lists, [*keys]).withColumn("_h", hit).withColumn("fold", F.col("_h.fold")).join(edges, gk)
+    # Equal edges are one here too, so that a bucket has the same number on both sides.
+    test = test.withColumn("_i", F.size(F.filter(F.array_distinct(F.array(*cuts)), lambda e: e <= F.col(feature))))
+    te = test.groupBy(*gk, "_i").agg(ups["up"].alias("t_up"), ups["down"].alias("t_down"), F.count(F.lit(1)).alias("t_n"))
+    te = te.join(by_fold, gk).join(tr, [*gk, "_i"], "left")
+    p_up = F.coalesce(F.col("up") / F.nullif("n", F.lit(0)), F.col("all_up") / F.col("all_n"))
     hits = F.when(p_up > 0.5, F.col("t_up")).otherwise(F.col("t_down"))
     return te.groupBy(*gk).agg(
         F.max("all_n").alias("n_train"),

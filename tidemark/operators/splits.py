@@ -2,7 +2,8 @@
 
 A fold never becomes a copy of its rows. Test membership is arithmetic on time, and an expanding
 train window is a sum over *slices*: slice f holds the rows that enter training with fold f, so any
-additive statistic of fold f's train window is the running sum of the slices up to f.
+additive statistic of fold f's train window is the running sum of the slices up to f. Order statistics
+of train windows are in ``operators/windows.py``.
 """
 
 from __future__ import annotations
@@ -95,23 +96,6 @@ def with_train_slice(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return d.filter(F.col("slice") < F.size("_ends")).drop("_ends")
 
 
-def with_train_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """One copy of a row per fold that trains on it, for statistics that do not add up (quantiles).
-
-    Expanding and sliding windows alike: the copy's fold satisfies train_pos <= pos < train_end_pos.
-    """
-    b = folds.groupBy(KEY).agg(
-        F.sort_array(F.collect_list(F.struct("fold", "train_pos", "train_end_pos", "test_start"))).alias("_f")
-    )
-    hit = F.filter("_f", lambda f: (f["train_pos"] <= F.col("pos")) & (F.col("pos") < f["train_end_pos"]))
-    return (
-        rows.join(b, KEY)
-        .withColumn("_h", F.explode(hit))
-        .withColumns({"fold": F.col("_h.fold"), "test_start": F.col("_h.test_start")})
-        .drop("_f", "_h")
-    )
-
-
 def running(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
     """Replace additive columns by their running sums over the (few) ordered rows of each key."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -123,6 +107,23 @@ def recency_weight(t: Column, as_of: Column, half_life_days: float) -> Column:
     return F.exp(F.lit(-math.log(2) / half_life_days / DAY) * (as_of - t))
 
 
+def recency_sums(rows: DataFrame, folds: DataFrame, half_life_days: float, sums: dict[str, Column]) -> DataFrame:
+    """(symbol, fold, n_rows, sums): ``sums`` over an expanding train window, each row weighted by its age.
+
+    Expressions may use ``wt``. A slice is summed with the ages counted from the first fold that holds it; a weight is a
+    power, so a later fold takes the whole slice over with one factor. Rows are read once, not once per fold.
+    """
+    starts = folds.select(KEY, "fold", "test_start")
+    order = folds.groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", "test_start"))), lambda x: x["test_start"]).alias("_starts"))
+    d = with_train_slice(rows, folds).join(order, KEY)
+    since = F.element_at("_starts", F.col("slice") + 1)
+    d = d.withColumn("wt", recency_weight(F.col("t"), since, half_life_days))
+    per = settle(d.groupBy(KEY, "slice", since.alias("_since")).agg(F.count(F.lit(1)).alias("n_rows"), *[a.alias(k) for k, a in sums.items()]))
+    j = starts.join(per, KEY).filter(F.col("slice") <= F.col("fold"))
+    w = recency_weight(F.col("_since"), F.col("test_start"), half_life_days)
+    return j.groupBy(KEY, "fold").agg(F.sum("n_rows").alias("n_rows"), *[F.sum(F.col(k) * w).alias(k) for k in sums])
+
+
 def last_days(rows: DataFrame, days: float, order: str = "t") -> DataFrame:
     """Rows of the last ``days`` days of each symbol, the newest row's own time being day 0."""
     newest = settle(rows.groupBy(KEY).agg(F.max(order).alias("_max")))  # its true size lets the planner broadcast it

@@ -490,16 +490,9 @@ def recency_weights(spark, sf):
     """Weighted mean return per fold, half-life five days, the age counted from the fold's start."""
     w = block_window(X.KEYS, "t")
     d = X.blocked(T.bars(spark, sf), 1).withColumn("ret", X.ret_col(w)).filter("own")
-    d = S.with_train_folds(d.select("symbol", "t", "pos", "ret"), folds_of(T.bars(spark, sf)))
-    d = d.withColumn("wt", S.recency_weight(F.col("t"), F.col("test_start"), 5.0))
-    return (
-        d.groupBy("symbol", "fold")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.round(F.sum("wt"), 6).alias("weight_sum"),
-            (F.round(F.sum(F.col("ret") * F.col("wt")) / F.sum(F.when(F.col("ret").isNotNull(), F.col("wt"))), 9) + 0.0).alias("weighted_ret"),
-        )
-    )
+    sums = {"weight_sum": F.sum("wt"), "x": F.sum(F.col("ret") * F.col("wt")), "w": F.sum(F.when(F.col("ret").isNotNull(), F.col("wt")))}
+    d = S.recency_sums(d.select("symbol", "t", "pos", "ret"), folds_of(T.bars(spark, sf)), 5.0, sums)
+    return d.select("symbol", "fold", "n_rows", F.round("weight_sum", 6).alias("weight_sum"), (F.round(F.col("x") / F.col("w"), 9) + 0.0).alias("weighted_ret"))
 
 
 @query(

@@ -298,32 +298,37 @@ def magnitude_regress(spark, sf):
 
 
 NOVM = f"""
-nvl AS (SELECT n.asset, n.id, v.p, round(n.novelty, 9) AS novelty, ln(s.exit_close / s.entry_close) AS log_return FROM nov n JOIN vec v ON v.id = n.id
-  ASOF JOIN (SELECT ts, close AS entry_close, lead(close, 24) OVER (ORDER BY ts) AS exit_close FROM bars WHERE symbol = 'click') s ON s.ts >= v.p WHERE s.exit_close IS NOT NULL),
-nw AS (SELECT fold, test_start, test_end FROM folds WHERE symbol = 'click'),
-ntr AS (SELECT w.fold, w.test_start, w.test_end, l.* FROM nw w JOIN nvl l ON l.p + INTERVAL 24 HOUR <= w.test_start),
-ned AS (SELECT fold, quantile_cont(novelty, 0.25) AS e1, quantile_cont(novelty, 0.5) AS e2, quantile_cont(novelty, 0.75) AS e3 FROM ntr GROUP BY 1 HAVING count(*) >= 50),
-ntb AS (SELECT t.fold, CAST(novelty >= e1 AS INT) + CAST(novelty >= e2 AS INT) + CAST(novelty >= e3 AS INT) AS b, count(*) FILTER (log_return > 0) AS up, count(*) FILTER (log_return < 0) AS down, count(*) AS n FROM ntr t JOIN ned USING (fold) GROUP BY 1, 2),
-nta AS (SELECT fold, sum(up) AS aup, sum(down) AS adown, sum(n) AS an FROM ntb GROUP BY 1),
-nte AS (SELECT w.fold, CAST(novelty >= e1 AS INT) + CAST(novelty >= e2 AS INT) + CAST(novelty >= e3 AS INT) AS b, count(*) FILTER (log_return > 0) AS tup, count(*) FILTER (log_return < 0) AS tdown, count(*) AS tn
-  FROM nw w JOIN nvl l ON l.p >= w.test_start AND l.p < w.test_end JOIN ned ON ned.fold = w.fold GROUP BY 1, 2)"""
+sym AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT symbol FROM bars)),
+own AS (SELECT n.asset, n.id, v.p, round(n.novelty, 9) AS novelty, s.symbol FROM nov n JOIN vec v ON v.id = n.id JOIN sym s ON n.asset % s.k = s.i),
+nvl AS (SELECT o.*, ln(s.exit_close / s.entry_close) AS log_return FROM own o
+  ASOF JOIN (SELECT symbol, ts, close AS entry_close, lead(close, 24) OVER (PARTITION BY symbol ORDER BY ts) AS exit_close FROM bars) s ON s.symbol = o.symbol AND s.ts >= o.p WHERE s.exit_close IS NOT NULL),
+ntr AS (SELECT w.fold, l.* FROM folds w JOIN nvl l ON l.symbol = w.symbol AND l.p + INTERVAL 24 HOUR <= w.test_start),
+ned AS (SELECT symbol, fold, quantile_cont(novelty, 0.25) AS e1, quantile_cont(novelty, 0.5) AS e2, quantile_cont(novelty, 0.75) AS e3 FROM ntr GROUP BY 1, 2 HAVING count(*) >= 50),
+ntb AS (SELECT t.symbol, t.fold, CAST(novelty >= e1 AS INT) + CAST(novelty >= e2 AS INT) + CAST(novelty >= e3 AS INT) AS b, count(*) FILTER (log_return > 0) AS up, count(*) FILTER (log_return < 0) AS down, count(*) AS n FROM ntr t JOIN ned USING (symbol, fold) GROUP BY 1, 2, 3),
+nta AS (SELECT symbol, fold, sum(up) AS aup, sum(down) AS adown, sum(n) AS an FROM ntb GROUP BY 1, 2),
+nte AS (SELECT w.symbol, w.fold, CAST(novelty >= e1 AS INT) + CAST(novelty >= e2 AS INT) + CAST(novelty >= e3 AS INT) AS b, count(*) FILTER (log_return > 0) AS tup, count(*) FILTER (log_return < 0) AS tdown, count(*) AS tn
+  FROM folds w JOIN nvl l ON l.symbol = w.symbol AND l.p >= w.test_start AND l.p < w.test_end JOIN ned ON ned.symbol = w.symbol AND ned.fold = w.fold GROUP BY 1, 2, 3)"""
 
 
 @query(
     "novelty_marginal",
     with_(BARS, PE.FOLDS, PJ.VEC, NOVM)
-    + f"""SELECT e.fold, CAST(max(an) AS BIGINT) AS n_train, CAST(sum(tn) AS BIGINT) AS n_test, {r_('max(greatest(aup, adown) / an)', 'base_rate')},
-    {r_('sum(CASE WHEN coalesce(up / n, aup / an) > 0.5 THEN tup ELSE tdown END) / sum(tn)', 'marginal_acc')} FROM nte e JOIN nta USING (fold) LEFT JOIN ntb USING (fold, b) GROUP BY 1""",
+    + f"""SELECT e.symbol, e.fold, CAST(max(an) AS BIGINT) AS n_train, CAST(sum(tn) AS BIGINT) AS n_test, {r_('max(greatest(aup, adown) / an)', 'base_rate')},
+    {r_('sum(CASE WHEN coalesce(up / n, aup / an) > 0.5 THEN tup ELSE tdown END) / sum(tn)', 'marginal_acc')} FROM nte e JOIN nta USING (symbol, fold) LEFT JOIN ntb USING (symbol, fold, b) GROUP BY 1, 2""",
 )
 def novelty_marginal(spark, sf):
-    """Does novelty say anything about the next day's direction? Time-purged windows, quartile buckets."""
-    bars = T.bars(spark, sf).filter(F.col("symbol") == T.BASE_SYMBOL)
-    items = PJ.V.novelty(PJ.vectors(spark, sf), ["asset"]).withColumn("symbol", F.lit(T.BASE_SYMBOL))
+    """Does novelty say anything about the next day's direction of the asset's own symbol?
+
+    Assets are numbers here: each is hung on one symbol in turn. Time-purged windows, quartile buckets.
+    """
+    bars = settle(T.bars(spark, sf))
+    names = settle(bars.agg(F.array_sort(F.collect_set("symbol")).alias("names")).select(F.posexplode("names").alias("i", "symbol")))
+    at = (F.col("asset") % F.lit(max(names.count(), 1))).cast("int")
+    items = PJ.V.novelty(PJ.vectors(spark, sf), ["asset"]).withColumn("i", at).join(names, "i").drop("i")
     items = items.withColumn("novelty", F.round("novelty", 9))
     lab = settle(Y.label_news(items, bars, steps=24))
     windows = PE.folds_of(bars).select("symbol", "fold", "test_start", "test_end")
-    d = SC.bucket_marginal(lab, windows, ["symbol"], "novelty", "log_return", 4, T.DAY)
-    return rounded(d.drop("symbol"), 9)
+    return rounded(SC.bucket_marginal(lab, windows, ["symbol"], "novelty", "log_return", 4, T.DAY), 9)
 
 
 # --- drift baseline -----------------------------------------------------------------------------------
