@@ -7,6 +7,7 @@ on unusual means bad.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log
@@ -24,6 +25,7 @@ SUBSAMPLE = 256  # rows of a tree, drawn from a pool of at most TREES * SUBSAMPL
 SHARE = 4  # a tree draws at most one in so many rows of the pool, so that copies of a fault do not hide each other
 GOOD_COST = 20.0  # losing a good labelled row costs as much as keeping so many bad ones (as shares of their classes)
 BINS = 1000
+THIN = 1 << 40
 SEED = 20
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_short", "n_stops", "n_top"]
@@ -131,7 +133,11 @@ def fit_forest(stats: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE,
     Every tree draws its rows from the sample for itself.
     """
     by = F.xxhash64(F.lit(seed), "doc_id", *STATS)
-    drawn = features(stats).select(by.alias("h"), *FEATURES).orderBy("h", *FEATURES).limit(trees * subsample).toPandas()
+    most, n = trees * subsample, stats.count()
+    # Thinned by hash before it is sorted, or every task would send its own ``most`` rows.
+    share = math.ceil(THIN * min(1.0, 1.1 * most / max(n, 1)))
+    thin = features(stats).select(by.alias("h"), *FEATURES).where(F.pmod("h", F.lit(THIN)) < share)
+    drawn = thin.orderBy("h", *FEATURES).limit(most).toPandas()
     pool = drawn.sort_values(["h", *FEATURES])[FEATURES].to_numpy(float)  # 5 numbers a row: under 2 MB
     size = tree_rows(len(pool), subsample)
     if size < 2:
