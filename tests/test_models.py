@@ -1,6 +1,7 @@
 """Models on planted signals, tails on known values, streams with late rows."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -86,6 +87,32 @@ def test_upsert_replay_changes_nothing(spark):
     assert sorted((r.url, r.id) for r in job.result().collect()) == [("u", 1), ("v", 3), ("w", 4)]
 
 
+def test_upsert_looks_into_few_runs(spark, monkeypatch):
+    """20 batches, merged by threes; every second batch is replayed, one after a crash before its list was written."""
+    base = fresh_dir(spark, "up")
+    job = J.UpsertTable(spark, base, ["k"], ["v"], buckets=2, fan=3)
+    seen = {}
+    looked = []
+    for b in range(14):
+        rows = [(i % (5 + b), 100 * b + i) for i in range(6)] if b != 4 else []
+        d = spark.createDataFrame(rows, "k int, v int")
+        if b == 7:
+            with monkeypatch.context() as m:
+                m.setattr(type(spark), "createDataFrame", lambda *a, **k: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    job(d, b)
+        job(d, b)
+        if b % 4 == 3:
+            job(d, b)
+        for k, v in rows:
+            seen.setdefault(k, v)
+        looked.append(len(job.runs(b)))
+    assert {r.k: r.v for r in job.result().collect()} == seen and job.result().count() == len(seen)
+    assert max(looked) <= 6 and looked[-1] < 6
+    left = [p for p in os.listdir(f"{base}/runs")]
+    assert len(left) <= len(job.runs(13)) + len(job.runs(12)) and len([p for p in os.listdir(f"{base}/lists") if p.startswith("batch")]) == 2
+
+
 def test_walk_forward_resumes(spark, planted):
     d = planted.withColumns({"symbol": F.lit("a"), "t": F.monotonically_increasing_id(), "pos": F.monotonically_increasing_id() % 1000})
     folds = [{"symbol": "a", "fold": 0, "train_pos": 0, "train_end_pos": 600, "test_pos": 620, "n_test": 100}]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M, text as X
 from tidemark.operators import evaluation as E, funding as FU, news as N, screens as SC, splits as S, targets as Y, upserts as U
-from tidemark.operators import windows as WN
+from tidemark.operators import ranks as R, windows as WN
 from tidemark.operators.ranks import exact_quantiles, left_closed, right_closed
 from tidemark.sources import html as H, payloads as P
 from tidemark.sources.files import epoch_to_micros
@@ -120,6 +120,23 @@ def test_sliding_train_window(spark):
     assert n == {k: (5, (5 * k + 5) * DAY) for k in range(4)}
 
 
+@pytest.mark.parametrize(("margin", "accuracy"), [(2.0, 2000), (2.0, 20), (0.0, 3)])
+def test_bracketed_quantiles_against_numpy(spark, margin, accuracy, monkeypatch):
+    """Also with a bracket that misses (no margin, a coarse sketch): those groups are done in full."""
+    monkeypatch.setattr(R, "MARGIN", margin)
+    monkeypatch.setattr(R, "ACCURACY", accuracy)
+    rng = np.random.default_rng(6)
+    groups = {"big": rng.lognormal(size=3000), "hot": np.r_[np.full(900, 2.0), rng.normal(size=90)], "one": [4.0], "two": [1.0, 2.0]}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("big", None), ("none", None)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.k: r for r in R.bracketed_quantiles(d, ["k"], "v", probs).collect()}
+    assert got.keys() == groups.keys()
+    for k, xs in groups.items():
+        assert got[k].n_rows == len(xs)
+        assert [got[k][f"q{i}"] for i in range(1, 6)] == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12)
+
+
 @pytest.mark.parametrize("most", [8, 4096])
 def test_window_quantiles_against_numpy(spark, most, monkeypatch):
     monkeypatch.setattr(WN, "MOST_RANGES", most)

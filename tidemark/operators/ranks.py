@@ -66,6 +66,49 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return g.select(*keys, "n_rows", *cols)
 
 
+ACCURACY = 2000  # of the sketch that brackets a quantile
+MARGIN = 2.0  # half the bracket's width, in units of the sketch's error
+
+
+def bracketed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
+    """``exact_quantiles`` for large groups and few levels, without a copy of the values on disk.
+
+    A mergeable sketch gives each level a bracket. A second reading counts what lies below it and keeps the counts of
+    the values inside, a small share of the group (equal values are one row), in which the level is selected. A group
+    whose bracket misses its level, which the sketch's error bound should rule out, goes the way of ``exact_quantiles``.
+    """
+    keys = list(keys)
+    d = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    m = MARGIN / ACCURACY
+    ends = [x for p in probs for x in (max(0.0, p - m), min(1.0, p + m))]
+    b = settle(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.percentile_approx(value, ends, ACCURACY).alias("_b")))
+    v = F.col(value)
+    tags = [
+        F.when(v <= F.get("_b", F.lit(2 * i + 1)), F.struct(F.lit(i).alias("i"), F.when(v >= F.get("_b", F.lit(2 * i)), v).alias("v"))) for i in range(len(probs))
+    ]
+    c = d.join(b, keys).select(*keys, "n_rows", F.explode(F.array_compact(F.array(*tags))).alias("_t"))
+    c = settle(c.groupBy(*keys, "n_rows", "_t").agg(F.count(F.lit(1)).alias("n")).select(*keys, "n_rows", "_t.*", "n"))
+    upto = F.sum("n").over(W.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
+    c = c.withColumn("_upto", upto)
+    aggs, cols, held = [], [], F.lit(True)
+    for i, p in enumerate(probs):
+        at = (F.col("n_rows") - 1) * F.lit(float(p))
+        mine = F.col("i") == i
+        inside = mine & F.col("v").isNotNull()
+        for part, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.min(F.when(inside & (F.col("_upto") > k), F.col("v"))).alias(f"_{part}{i}"))
+        aggs.append((F.coalesce(F.max(F.when(mine & F.col("v").isNull(), F.col("n"))), F.lit(0)) <= F.max(F.floor(at))).alias(f"_ok{i}"))
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        held = held & F.col(f"_ok{i}") & hi.isNotNull()
+        cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"{out}{i + 1}"))
+    g = settle(c.groupBy(*keys, "n_rows").agg(*aggs).select(*keys, "n_rows", *cols, held.alias("_held")))
+    done = g.filter("_held").drop("_held")
+    missed = g.filter("not _held").select(*keys)
+    if missed.isEmpty():
+        return done
+    return done.unionByName(exact_quantiles(d.join(missed, keys, "left_semi"), keys, value, probs, out))
+
+
 def right_closed(x: Column, edges: Sequence[Column]) -> Column:
     """Bucket 0.. of (e0, e1], (e1, e2], ... after equal edges are merged; e0 itself is in bucket 0."""
     inner = F.array_distinct(F.array(*edges))

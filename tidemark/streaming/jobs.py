@@ -6,9 +6,12 @@ on from its checkpoint. ``run`` drives a job through all data that is there (``a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators import features as X, news as N, orderflow as O, upserts as U
 from tidemark.operators.blocks import from_micros, micros
@@ -152,25 +155,73 @@ class NewsOnGrid:
 
 
 class UpsertTable:
-    """Insert-ignore of arriving rows into a table of immutable batch folders.
+    """Insert-ignore of arriving rows into a table of key buckets and merged runs.
 
-    A replayed batch overwrites its own folder and looks only at the folders before it, so a restart
-    gives the same table.
+    A batch adds a run of its new rows, cut into ``buckets`` by a hash of the key, and looks for its keys only in the
+    buckets that they fall into. As soon as ``fan`` runs of one level are there they are merged into one of the next, so
+    n batches leave at most (fan - 1) * log_fan(n) + 1 runs to look into, and a row is rewritten log_fan(n) times.
+
+    What the table holds after a batch is a list of runs, written last. A replayed batch starts from the list before it
+    and overwrites its own run and list, so a restart gives the same table; runs go only when no list that a replay may
+    start from names them.
     """
 
-    def __init__(self, spark: SparkSession, base: str, keys: list[str], order: list[str]):
-        self.spark, self.base, self.keys, self.order = spark, base, keys, order
+    def __init__(self, spark: SparkSession, base: str, keys: list[str], order: list[str], buckets: int = 64, fan: int = 8):
+        self.spark, self.base, self.keys, self.order, self.buckets, self.fan = spark, base, keys, order, buckets, fan
+
+    def runs(self, batch: int) -> list[tuple[str, int]]:
+        """(run, level) after a batch, oldest first."""
+        if batch < 0:
+            return []
+        return [(r.run, r.level) for r in self.spark.read.parquet(f"{self.base}/lists/batch={batch}").orderBy("at").collect()]
+
+    def _read(self, runs: list[tuple[str, int]], schema) -> DataFrame:
+        full = StructType([*schema.fields, StructField("_bucket", IntegerType())])
+        paths = [f"{self.base}/runs/{r}" for r, _ in runs]
+        # One read per run: each has bucket folders of its own.
+        parts = [self.spark.read.schema(full).parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], full)
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        rows.repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{self.base}/runs/{run}")
 
-    def before(self, batch: int, schema) -> DataFrame:
-        paths = [f"{self.base}/batch={b}" for b in range(batch)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _forget(self, folders: list[str]) -> None:
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for f in folders:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{f}")
+            path.getFileSystem(conf).delete(path, True)
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        new = U.insert_ignore(self.before(batch, rows.schema), rows, self.keys, self.order)
-        new.write.mode("overwrite").parquet(f"{self.base}/batch={batch}")
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        schema = StructType([f for f in rows.schema.fields if f.name != "_bucket"])
+        before = self.runs(batch - 1)
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+        known = self._read(before, schema).filter(F.col("_bucket").isin(touched))
+        self._write(U.insert_ignore(known, rows, self.keys, self.order), f"batch-{batch}")
+        now = [*before, (f"batch-{batch}", 0)]
+        made = {f"batch-{batch}"}
+        while len(now) >= self.fan and len({level for _, level in now[-self.fan :]}) == 1:
+            level = now[-1][1] + 1
+            merged = f"merged-{batch}-{level}"
+            self._write(self._read(now[-self.fan :], schema), merged)
+            now = [*now[: -self.fan], (merged, level)]
+            made.add(merged)
+        listed = self.spark.createDataFrame([(i, *r, schema.json()) for i, r in enumerate(now)], "at int, run string, level int, schema string")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/lists/batch={batch}")
+        self._forget([f"runs/{r}" for r in made - {r for r, _ in now}])
+        if batch > 1 and self._has(batch - 2):
+            needed = {r for r, _ in before + now}
+            gone = [r for r, _ in self.runs(batch - 2) if r not in needed]
+            self._forget([*(f"runs/{r}" for r in gone), f"lists/batch={batch - 2}"])
+
+    def _has(self, batch: int) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/lists/batch={batch}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def result(self) -> DataFrame:
-        return self.spark.read.parquet(self.base).drop("batch")
+        """The table after the newest batch."""
+        newest = self.spark.read.parquet(f"{self.base}/lists").agg(F.max_by("schema", "batch"), F.max("batch")).first()
+        return self._read(self.runs(newest[1]), StructType.fromJson(json.loads(newest[0]))).drop("_bucket")
 
 
 def written(df: DataFrame, name: str, files: int = 1) -> str:
