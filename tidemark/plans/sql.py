@@ -43,6 +43,13 @@ def t_two_sided(t: str, nu: str) -> str:
     return f"CASE WHEN {t} IS NOT NULL AND ({nu}) > 0 THEN 1 - CASE WHEN ({nu}) % 2 = 0 THEN {even} ELSE {odd} END END"
 
 
+def t_quantile(p: str, nu: str) -> str:
+    """The t with P(T <= t) = p for p above one half, by halving an interval of two-sided tails."""
+    tail = t_two_sided("((b[1] + b[2]) / 2)", nu)
+    step = f"lambda b, i: CASE WHEN ({tail}) > 2 * (1 - {p}) THEN [(b[1] + b[2]) / 2, b[2]] ELSE [b[1], (b[1] + b[2]) / 2] END"
+    return f"CASE WHEN ({nu}) > 0 THEN list_reduce(range(90), {step}, [0.0::DOUBLE, 1000.0::DOUBLE])[1] END"
+
+
 def chi2_upper(x: str, dof: str) -> str:
     """P(X > x) of chi-square: one minus the series of the lower incomplete gamma function."""
     a, h = f"(({dof}) / 2.0)", f"(({x}) / 2.0)"

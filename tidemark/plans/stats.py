@@ -13,7 +13,7 @@ from tidemark.operators.blocks import BLOCK_ROWS, block_window, full, with_posit
 from tidemark.plans import evaluation as PE, joins as PJ
 from tidemark.plans.features import RETS, TARGETS, rounded
 from tidemark.plans.registry import query
-from tidemark.plans.sql import BARS, full as sfull, with_, chi2_upper, t_two_sided
+from tidemark.plans.sql import BARS, full as sfull, with_, chi2_upper, t_quantile, t_two_sided
 from tidemark.session import settle
 
 HAC_LAG = 96
@@ -408,19 +408,38 @@ def paired_t(spark, sf):
     )
 
 
-@query("paired_t_p")
+# The test of the fold deltas with its tails, and the variant's own level.
+TESTED = f""",
+g AS (SELECT symbol, count(*) AS n_folds, avg(d) AS mean_delta, stddev_samp(d) AS std_delta, count(*) FILTER (d < 0) AS folds_favoring FROM d GROUP BY 1),
+h AS (SELECT *, std_delta / sqrt(n_folds) AS se, mean_delta / nullif(std_delta / sqrt(n_folds), 0) AS t_stat, {t_quantile('0.975', '(n_folds - 1)')} AS crit, {t_quantile('0.8', '(n_folds - 1)')} AS back FROM g),
+tt AS (SELECT *, {t_two_sided('t_stat', '(n_folds - 1)')} AS p_value, (crit + back) * se AS min_detectable, mean_delta - crit * se AS ci_lo, mean_delta + crit * se AS ci_hi FROM h)"""
+TESTED_OUT = "symbol, n_folds, folds_favoring, " + ", ".join(r_(c, c, 8) for c in ("mean_delta", "std_delta", "t_stat", "p_value", "min_detectable", "ci_lo", "ci_hi"))
+
+
+@query("paired_t_p", PE.QSQL + PAIRED.lstrip() + TESTED + f" SELECT {TESTED_OUT} FROM tt")
 def paired_t_p(spark, sf):
     """p-value, smallest detectable effect and 95 % t-interval of the fold deltas."""
-    return ST.paired_test(deltas(spark, sf))
+    return rounded(ST.paired_test(deltas(spark, sf)), 8)
 
 
-@query("corridor_pass_bar")
+@query(
+    "corridor_pass_bar",
+    PE.QSQL + PAIRED.lstrip() + TESTED
+    + f""",
+bs AS (SELECT symbol, avg(v) AS base FROM o WHERE variant = 'a' GROUP BY 1),
+cf AS (SELECT symbol, quantile, fold, sum(coverage * n_test) / sum(n_test) AS c FROM qf WHERE variant = 'b' AND quantile IN (0.1, 0.9) GROUP BY 1, 2, 3),
+cq AS (SELECT symbol, quantile, count(*) AS n, count(*) FILTER (abs(c - quantile) <= 0.03) AS k FROM cf GROUP BY 1, 2),
+cv AS (SELECT symbol, bool_and(k > n / 2.0) AS passes_coverage FROM cq GROUP BY 1),
+z AS (SELECT tt.*, base, passes_coverage, -mean_delta / base AS relative_gain FROM tt JOIN bs USING (symbol) JOIN cv USING (symbol))
+SELECT {TESTED_OUT}, {r_('base', 'base', 8)}, passes_coverage, {r_('relative_gain', 'relative_gain', 8)}, relative_gain >= 0.01 AS passes_gain,
+  p_value < 0.05 AND mean_delta < 0 AS passes_significance, relative_gain >= 0.01 AND p_value < 0.05 AND mean_delta < 0 AND passes_coverage AS passes FROM z""",
+)
 def corridor_pass_bar(spark, sf):
     """Pre-registered corridor bar: one percent better pinball, significant, most folds calibrated."""
     from tidemark.operators.gates import corridor_bar
 
     qf = settle(PE.quantile_folds_df(spark, sf))
-    return corridor_bar(qf, "a", "b")
+    return rounded(corridor_bar(qf, "a", "b"), 8)
 
 
 # --- parameter grid --------------------------------------------------------------------------------------
