@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-TOKENIZERS = "/opt/tokenizers"  # the folder of the public vocabulary files
+TOKENIZERS = None  # the folder of the public vocabulary files; None asks the installed package, where the task runs
 SLICE = 512  # documents held as Python objects at a time
 BLANKS = r"\x20\x09-\x0D"  # what separates words
 WORD = rf"[^{BLANKS}]+"

@@ -48,6 +48,10 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def load(name: str = MODEL, folder: str = TOKENIZERS) -> Pieces:
+def load(name: str = MODEL, folder: str | None = TOKENIZERS) -> Pieces:
     """The model file of that name, loaded once per Python process."""
+    if folder is None:
+        import public_tokenizers
+
+        return Pieces(public_tokenizers.path(name))
     return Pieces(os.path.join(folder, name))

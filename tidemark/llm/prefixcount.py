@@ -124,7 +124,7 @@ def longest_within(prefix: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(prefix <= budget)[-1])
 
 
-def prefix_counts(docs: DataFrame, model: str = MODEL, folder: str = TOKENIZERS) -> DataFrame:
+def prefix_counts(docs: DataFrame, model: str = MODEL, folder: str | None = TOKENIZERS) -> DataFrame:
     """(doc_id, prefix_tokens array<int>): tokens of every prefix of the whole text, from the empty one.
 
     A NULL text counts as empty: [0]. Rows are independent, so repeated rows and empty tables need nothing special;
@@ -138,7 +138,7 @@ def prefix_counts(docs: DataFrame, model: str = MODEL, folder: str = TOKENIZERS)
     return over_batches(docs.select("doc_id", "text"), "doc_id long, prefix_tokens array<int>", None, start)
 
 
-def token_counts(docs: DataFrame, limit: int, model: str = MODEL, folder: str = TOKENIZERS) -> DataFrame:
+def token_counts(docs: DataFrame, limit: int, model: str = MODEL, folder: str | None = TOKENIZERS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, fits_chars): the answers that one table per text gives.
 
     ``fits_chars`` is the length of the longest prefix of at most ``limit`` tokens.
