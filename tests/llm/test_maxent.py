@@ -87,6 +87,39 @@ def test_steps_move_towards_the_data():
     assert m.log10(ev).mean() > before / 3
 
 
+def test_sums_and_tails_against_plain_code():
+    class C:
+        out, head_n, rare_n = M.OUT, np.arange(M.OUT, 0, -1), np.ones(M.RARE)
+
+    rng = np.random.default_rng(4)
+    m = M.Model(C)
+    m.top[:], m.inner[:] = rng.normal(size=m.top.shape), rng.normal(size=m.inner.shape)
+    ends = rng.integers(0, 64, M.OUT + 50)
+    place = rng.integers(-1, len(ends), 3000)
+    codes = place << 8 | np.where(place < 0, rng.integers(0, 64, 3000), ends[place])
+    for starts in ([0], [0, 1, 2, 700, 2999]):
+        ev = M.events(codes, np.array(starts))
+        assert np.allclose(m.log10(ev, m.sums(ends)), m.log10(ev), rtol=1e-5)
+    m.top[:, 3] += 500  # scores whose exp has no float
+    ev = M.events(codes, np.array([0]))
+    assert np.isfinite(m.class_odds(ev["top"][:, :9])).all() and np.allclose(m.log10(ev, m.sums(ends)), m.log10(ev), rtol=1e-3)
+
+    words = [[b"b", b"a", b"b", b"c"], [b"a"], [b"c", b"b"], [b"b", b"b", M.END]]
+    starts, known = np.array([0, 4, 5, 7]), {b"a", M.END}
+    vocab = M.Vocabulary(np.array([M.key(w) for w in known]))
+    codes, at, _ = M._coded([b"b a b c", b"", b"x"], vocab)
+    assert at.tolist() == [0, 5, 6] and (codes >> 8 >= 0).tolist() == [False, True, False, False, True, True, False, True]
+    tail = np.array([w not in known for t in words for w in t])
+    keys, times = M._tails(words, starts, tail, vocab)
+    want = [{M.key(w): t.count(w) for w in t if w not in known} for t in words]
+    assert [dict(zip(k, n)) for k, n in zip(keys.to_pylist(), times.to_pylist())] == want
+    keys, times = M._tails(words, starts, np.zeros(10, bool), vocab)
+    assert keys.to_pylist() == times.to_pylist() == [[]] * 4
+    odds = np.array([[1, 0, 2, 1], [0, 1, 0, 0]], np.float32)
+    for u, want in ((0.0, [0, 0]), (0.2, [0, 1]), (0.5, [2, 1]), (0.99, [3, 1])):
+        assert M._drawn(np.full((2, 1), u, np.float32), odds.copy()).tolist() == want
+
+
 def test_empty(spark, make_docs):
     assert M.scores(make_docs(["x"]).limit(0)).count() == 0
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][:2]

@@ -14,14 +14,14 @@ the counts of the others are joined to the documents that hold them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.base import fold, lower, raw
@@ -33,7 +33,9 @@ ROWS = 1 << 13  # hashed feature rows of either table
 HEAD = 1 << 18  # words whose counts every task holds
 CHUNK = 1024  # tokens of a gradient step, or scored at a time
 ROUNDS = 4
+ENDS = 65  # endings, and none
 RATE, DAMP = 0.2, 8.0  # a weight that has moved n times moves by RATE / sqrt(n + DAMP)
+SAFE = 60.0  # scores whose exp neither overflows nor vanishes
 FOLDS, HELD = 5, 1  # documents with crc32(doc_id) mod 5 = 1 teach nothing
 END = b"\n"  # no word can hold it
 FLUSH = 1 << 19  # different words a counting task holds before it passes them on
@@ -108,19 +110,41 @@ class Counts:
             self.rare_v[e] -= 1
 
 
+class Keys(dict):
+    """word: its key, for words outside the head."""
+
+    def __missing__(self, w: bytes) -> int:
+        return key(w)
+
+
 class Vocabulary(dict):
     """word: (place in the head, or -1) * 256 + ending."""
 
     def __init__(self, keys: np.ndarray):
         self.place = dict(zip(keys.tolist(), range(len(keys))))
+        self.tail, self.keys_of = Keys(), keys
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= HEAD:
             self.clear()
-        got = self[w] = self.place.get(key(w), -1) << 8 | ending(w)
+            self.tail.clear()
+        k = key(w)
+        at = self.place.get(k, -1)
+        if at < 0:
+            self.tail[w] = k
+        got = self[w] = at << 8 | ending(w)
         return got
 
 
+_held: list[Vocabulary] = []  # of this Python worker: tasks of one model go on from the words that earlier ones met
+
+
+def vocabulary(keys: np.ndarray) -> Vocabulary:
+    if not _held or _held[0].keys_of is not keys:
+        _held[:] = [Vocabulary(keys)]
+    return _held[0]
+
+
 def hashed(*parts: np.ndarray | int) -> np.ndarray:
     out = np.full(1, 0x9E3779B97F4A7C15, np.uint64)
     for p in parts:
@@ -149,7 +173,7 @@ def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     e1, e2 = (back(end, k, 64) for k in (1, 2))
     top = [hashed(1, i1), hashed(2, e1), hashed(3, i1, i2), hashed(4, i2), hashed(5, i3)]
     inner = [hashed(7, e1, cls), hashed(8, e2, cls), hashed(9, i1, cls)]
-    return {"cls": cls, "slot": slot, "known": known, "top": np.stack(top), "inner": np.stack(inner)}
+    return {"cls": cls, "slot": slot, "known": known, "top": np.stack(top), "inner": np.stack(inner), "before": i1, "end": e1}
 
 
 class Model:
@@ -178,33 +202,44 @@ class Model:
         """exp of the word scores inside the class, up to a factor a row."""
         return _odds((self.prior_inner + self.inner[CLASS_ROWS])[cls], self.inner, rows)
 
-    def log10(self, ev: dict[str, np.ndarray]) -> np.ndarray:
+    def sums(self, head_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the word in front gives to the classes, and its ending to a class's words, summed once for every such
+        word and ending instead of at every token; right until the next step."""
+        end = np.r_[np.resize(head_end[:OUT], OUT) if len(head_end) else np.zeros(OUT, np.int64), np.arange(ENDS)]
+        ident = np.arange(OUT + ENDS)
+        after = self.prior_top + self.top[0] + self.top[hashed(1, ident)] + self.top[hashed(2, end)]
+        cls, end = (x.ravel() for x in np.indices((OUT // SLOTS, ENDS)))
+        return after, (self.prior_inner + self.inner[CLASS_ROWS])[cls] + self.inner[hashed(7, end, cls)]
+
+    def log10(self, ev: dict[str, np.ndarray], sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 P(class) and, for words with a slot, + log10 P(word | class), token by token."""
         out = np.empty(len(ev["cls"]))
         for i in range(0, len(out), CHUNK):
             at = slice(i, i + CHUNK)
-            cls = ev["cls"][at]
-            p = _share(self.class_odds(ev["top"][:, at]), cls)
+            cls, top = ev["cls"][at], ev["top"][:, at]
+            p = _share(_odds(sums[0][ev["before"][at]], self.top, top[2:]) if sums else self.class_odds(top), cls)
             k = np.flatnonzero(ev["known"][at])
             if len(k):
-                p[k] *= _share(self.word_odds(ev["inner"][:, at][:, k], cls[k]), ev["slot"][at][k])
+                own, inner = cls[k], ev["inner"][:, at][:, k]
+                odds = _odds(sums[1][own * ENDS + ev["end"][at][k]], self.inner, inner[1:]) if sums else self.word_odds(inner, own)
+                p[k] *= _share(odds, ev["slot"][at][k])
             out[at] = np.log10(np.maximum(p, 1e-30))
         return out
 
     def step(self, ev: dict[str, np.ndarray], rng: np.random.Generator, seen: list[np.ndarray]) -> None:
         """One gradient step over some tokens; ``seen`` counts the moves of each weight, which shorten its steps."""
         cls = ev["cls"]
-        self._move(self.top, seen[0], self.class_odds(ev["top"]), ev["top"], cls, None, rng)
+        u = rng.random((len(cls), 1), np.float32)
+        self._move(self.top, seen[0], _drawn(u, self.class_odds(ev["top"])), ev["top"], cls, None)
         k = np.flatnonzero(ev["known"])
         if len(k):
             rows = ev["inner"][:, k]
-            self._move(self.inner, seen[1], self.word_odds(rows, cls[k]), rows, ev["slot"][k], cls[k], rng)
+            u = rng.random((len(k), 1), np.float32)
+            self._move(self.inner, seen[1], _drawn(u, self.word_odds(rows, cls[k])), rows, ev["slot"][k], cls[k])
 
     @staticmethod
-    def _move(table: np.ndarray, seen: np.ndarray, odds: np.ndarray, rows: np.ndarray, there: np.ndarray, cls: np.ndarray | None, rng: np.random.Generator) -> None:
+    def _move(table: np.ndarray, seen: np.ndarray, drawn: np.ndarray, rows: np.ndarray, there: np.ndarray, cls: np.ndarray | None) -> None:
         width = table.shape[1]
-        c = np.cumsum(odds, axis=1)
-        drawn = np.minimum((c < rng.random((len(c), 1), np.float32) * c[:, -1:]).sum(1), width - 1)
         differ = drawn != there
         bias = np.zeros(int(differ.sum()), np.int64) if cls is None else CLASS_ROWS[cls[differ]]
         base = np.vstack([bias[None], rows[:, differ]]) * width
@@ -222,10 +257,17 @@ def _odds(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     for r in rows:
         np.take(table, r, axis=0, out=part, mode="clip")
         z += part
-    z -= z.max(axis=1, keepdims=True)
+    if not (z.max() < SAFE and z[:, 0].min() > -SAFE):
+        z -= z.max(axis=1, keepdims=True)
     return np.exp(z, out=z)
 
 
+def _drawn(u: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """One column a row, drawn by its odds with the uniform numbers ``u``; ``odds`` are used up."""
+    c = np.cumsum(odds, axis=1, out=odds)
+    return (c >= u * c[:, -1:]).argmax(1)
+
+
 def _share(odds: np.ndarray, of: np.ndarray) -> np.ndarray:
     return odds[np.arange(len(of)), of].astype(float) / odds.sum(axis=1, dtype=float)
 
@@ -237,6 +279,18 @@ def _coded(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, np
     return codes, np.r_[0, np.cumsum(sizes)[:-1]], words
 
 
+def _tails(words: list[list[bytes]], starts: np.ndarray, tail: np.ndarray, vocab: Vocabulary) -> tuple[pa.Array, pa.Array]:
+    """For every text the different keys of its words outside the head, and how often each stands there."""
+    keys = np.fromiter(map(vocab.tail.__getitem__, compress(chain.from_iterable(words), tail.tolist())), np.int64, int(tail.sum()))
+    text = np.searchsorted(starts, np.flatnonzero(tail), side="right") - 1
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])][: len(keys)])
+    times = np.diff(np.r_[first, len(keys)])
+    cuts = pa.array(np.searchsorted(text[first], np.arange(len(starts) + 1)), pa.int32())
+    return pa.ListArray.from_arrays(cuts, pa.array(keys[first])), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows whose texts have some MB together, one at least."""
     size = np.cumsum([len(t or b"") for t in raw(b, "text")])
@@ -248,17 +302,18 @@ def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    """Weights after one pass over ``docs`` (doc_id, text), dealt over the rounds by hash of the text."""
+def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, keys: Broadcast | None = None) -> Model:
+    """Weights after one pass over ``docs`` (doc_id, text), dealt over the rounds by hash of the text; ``keys``: those of
+    ``counts``, where they are with the tasks already."""
     model = Model(counts)
     sc = docs.sparkSession.sparkContext
     part = F.pmod(F.xxhash64(F.lit("round"), "text"), F.lit(rounds))
-    keys = sc.broadcast(counts.keys)
+    keys = keys or sc.broadcast(counts.keys)
     for r in range(rounds):
         start = sc.broadcast(model)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, vocab = start.value, Vocabulary(keys.value)
+            m, vocab = start.value, vocabulary(keys.value)
             m0 = (m.top.copy(), m.inner.copy())
             m.top, m.inner = m0[0].copy(), m0[1].copy()
             seen = [np.zeros(m.top.size, np.float32), np.zeros(m.inner.size, np.float32)]
@@ -305,12 +360,13 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     teach = docs.where(fold("doc_id", FOLDS) != HELD)
     table = settle(word_counts(teach))
     counts = Counts(table)
-    model = train(teach, counts, rounds)
-    shipped = sc.broadcast((model, counts))
+    keys = sc.broadcast(counts.keys)
+    model = train(teach, counts, rounds, keys)
+    shipped = sc.broadcast((model, counts, model.sums(counts.head_end)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, c = shipped.value
-        vocab, task, row = Vocabulary(c.keys), TaskContext.get().partitionId(), 0
+        m, c, sums = shipped.value
+        vocab, task, row = vocabulary(keys.value), TaskContext.get().partitionId(), 0
         head_log = np.log10(c.head_n + 0.5) if len(c.head_n) else np.zeros(0)
         rare_all = np.log10(c.rare_n + 0.5 * (c.rare_v + 1))
         for b in batches:
@@ -321,13 +377,9 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 head = place >= 0
                 own = np.zeros(len(codes))
                 own[head] = head_log[place[head]]
-                model_part = m.log10(ev) + np.where(ev["known"], 0.0, np.where(head, own, 0.0) - rare_all[rare])
-                keys, times = [], []
-                for w, i in zip(words, starts.tolist()):
-                    tail = Counter(key(w[k]) for k in np.flatnonzero(~head[i : i + len(w)]).tolist())
-                    keys.append(list(tail))
-                    times.append(list(tail.values()))
+                model_part = m.log10(ev, sums) + np.where(ev["known"], 0.0, np.where(head, own, 0.0) - rare_all[rare])
                 n = s.num_rows
+                tail_keys, times = _tails(words, starts, ~head, vocab)
                 cols = [
                     pa.array((np.arange(n) + row) | (task << 40), pa.int64()),
                     s.column("doc_id").cast(pa.int64()),
@@ -335,8 +387,8 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     pa.array(np.add.reduceat(head.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(own, starts)),
                     pa.array(np.add.reduceat(model_part, starts)),
-                    pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64())),
+                    tail_keys,
+                    times,
                 ]
                 row += n
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_tokens", "head_known", "head_log", "model_log", "keys", "times"])
