@@ -87,3 +87,16 @@ def test_half_push_keeps_the_other_half(spark):
     assert r.m == {"a": "1", "quantile_a": "9"} and r.p == {"a": "1"} and r.q == {"quantile_a": "9"}
     none = F.lit(None).cast("map<string,string>")
     assert spark.range(1).select(G.merge_metadata(none, F.create_map(F.lit("k"), F.lit("v")))).first()[0] == {"k": "v"}
+
+
+def test_corridor_needs_a_majority(spark):
+    from tidemark.operators.evaluation import corridor_summary
+
+    rows = [
+        ("half", 1.0, 0.13, 3.0, 0.5), ("most", 1.0, 0.1, 2.0, 0.92), ("most", 3.0, 0.08, 2.0, 0.5),
+        ("none", 1.0, 0.5, 1.0, 0.5), ("unseen", None, None, 2.0, 0.9),
+    ]
+    d = spark.createDataFrame(rows, "symbol string, pinball_10 double, coverage_10 double, pinball_90 double, coverage_90 double")
+    got = {r.symbol: (r.n_cells, r.n_within, r.avg_pinball, r.majority_calibrated) for r in corridor_summary(d, ["symbol"], tolerance=0.05).collect()}
+    assert got == {"half": (2, 1, 2.0, False), "most": (4, 3, 2.0, True), "none": (2, 0, 1.0, False), "unseen": (2, 1, 2.0, False)}
+    assert corridor_summary(d.limit(0), ["symbol"]).count() == 0

@@ -208,6 +208,22 @@ def coverage_calibration(quantile_folds: DataFrame, quantiles=(0.1, 0.9), tolera
     )
 
 
+def corridor_summary(cells: DataFrame, by: list[str], quantiles=(0.1, 0.9), tolerance: float = 0.03) -> DataFrame:
+    """(by, n_cells, n_within, avg_pinball, majority_calibrated) over the cells of a held-out evaluation.
+
+    A cell is one quantile of one row of ``cells``, which holds pinball_10, coverage_10 and so on. The corridor is
+    calibrated where more than half of the cells cover their nominal share within the tolerance; a cell without
+    coverage counts as outside, a half is no majority.
+    """
+    parts = [
+        F.struct(F.col(f"pinball_{round(q * 100)}").alias("pinball"), (F.abs(F.col(f"coverage_{round(q * 100)}") - q) <= tolerance).alias("within"))
+        for q in quantiles
+    ]
+    g = cells.select(*by, F.inline(F.array(*parts))).groupBy(*by)
+    out = g.agg(F.count(F.lit(1)).alias("n_cells"), F.count(F.when(F.col("within"), 1)).alias("n_within"), F.avg("pinball").alias("avg_pinball"))
+    return out.withColumn("majority_calibrated", F.col("n_within") * 2 > F.col("n_cells"))
+
+
 def regime_edges(rows: DataFrame, folds: DataFrame, axis: str) -> DataFrame:
     """Terciles of the axis over every fold's train rows."""
     g = WN.grid(rows.select(S.KEY, "pos", axis), folds, [S.KEY], axis, "pos", "train_pos", "train_end_pos")

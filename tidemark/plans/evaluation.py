@@ -540,18 +540,14 @@ def naive_point_baseline(spark, sf):
     return rounded(naive_point(S.holdout(target_rows(spark, sf), 7.0), HS), 9)
 
 
-@query(
-    "holdout_eval",
-    with_(BARS, RETS, TARGETS, PRED_SQL, QP, HOLD,
-          "\nhe AS (" + " UNION ALL ".join(f"SELECT t.symbol, {h} AS horizon, t.r_{h} AS a, p.ret_mean_6 * {h} AS p, q.pct_10 * sqrt({h}) AS q10, q.pct_90 * sqrt({h}) AS q90 FROM hd t JOIN pr p USING (symbol, ts) JOIN qp q USING (symbol, ts) WHERE NOT is_train" for h in HS) + ")")
-    + """SELECT symbol, horizon, count(a) AS n, round(avg(abs(a - p)), 9) AS mae, round(avg(CASE WHEN a IS NOT NULL AND p IS NOT NULL THEN CAST(sign(a) = sign(p) AS INT) END), 9) AS directional_accuracy,
-      round(avg(greatest(0.1 * (a - q10), -0.9 * (a - q10))), 9) AS pinball_10, round(avg(greatest(0.9 * (a - q90), -0.1 * (a - q90))), 9) AS pinball_90,
-      round(avg(CAST(a <= q10 AS INT)), 9) AS coverage_10, round(avg(CAST(a <= q90 AS INT)), 9) AS coverage_90,
-      abs(avg(CAST(a <= q10 AS INT)) - 0.1) <= 0.03 AS within_10, abs(avg(CAST(a <= q90 AS INT)) - 0.9) <= 0.03 AS within_90
-    FROM he GROUP BY 1, 2 HAVING count(a) > 0""",
+HELD_OUT = with_(
+    BARS, RETS, TARGETS, PRED_SQL, QP, HOLD,
+    "\nhe AS (" + " UNION ALL ".join(f"SELECT t.symbol, {h} AS horizon, t.r_{h} AS a, p.ret_mean_6 * {h} AS p, q.pct_10 * sqrt({h}) AS q10, q.pct_90 * sqrt({h}) AS q90 FROM hd t JOIN pr p USING (symbol, ts) JOIN qp q USING (symbol, ts) WHERE NOT is_train" for h in HS) + ")",
 )
-def holdout_eval(spark, sf):
-    """Point and corridor scores of the last seven days, per symbol and horizon."""
+
+
+def holdout_cells(spark, sf):
+    """Scores of every symbol and horizon with held-out rows."""
     d = S.last_days(predicted(spark, sf, True), 7.0)
     cells = []
     for h in HS:
@@ -562,7 +558,21 @@ def holdout_eval(spark, sf):
             "pinball_10": M.pinball(a, q10, 0.1), "pinball_90": M.pinball(a, q90, 0.9),
             "coverage_10": M.coverage(a, q10), "coverage_90": M.coverage(a, q90),
         }))
-    out = E.stacked(d, ["symbol"], cells).filter("n > 0")
+    return E.stacked(d, ["symbol"], cells).filter("n > 0")
+
+
+@query(
+    "holdout_eval",
+    HELD_OUT
+    + """SELECT symbol, horizon, count(a) AS n, round(avg(abs(a - p)), 9) AS mae, round(avg(CASE WHEN a IS NOT NULL AND p IS NOT NULL THEN CAST(sign(a) = sign(p) AS INT) END), 9) AS directional_accuracy,
+      round(avg(greatest(0.1 * (a - q10), -0.9 * (a - q10))), 9) AS pinball_10, round(avg(greatest(0.9 * (a - q90), -0.1 * (a - q90))), 9) AS pinball_90,
+      round(avg(CAST(a <= q10 AS INT)), 9) AS coverage_10, round(avg(CAST(a <= q90 AS INT)), 9) AS coverage_90,
+      abs(avg(CAST(a <= q10 AS INT)) - 0.1) <= 0.03 AS within_10, abs(avg(CAST(a <= q90 AS INT)) - 0.9) <= 0.03 AS within_90
+    FROM he GROUP BY 1, 2 HAVING count(a) > 0""",
+)
+def holdout_eval(spark, sf):
+    """Point and corridor scores of the last seven days, per symbol and horizon."""
+    out = holdout_cells(spark, sf)
     out = out.withColumns(
         {
             "within_10": F.abs(F.col("coverage_10") - 0.1) <= 0.03,
@@ -570,3 +580,15 @@ def holdout_eval(spark, sf):
         }
     )
     return rounded(out, 9)
+
+
+@query(
+    "holdout_corridor",
+    HELD_OUT
+    + """, cell AS (SELECT symbol, horizon, avg(greatest(0.1 * (a - q10), -0.9 * (a - q10))) AS pinball, coalesce(abs(avg(CAST(a <= q10 AS INT)) - 0.1) <= 0.03, false) AS within FROM he GROUP BY 1, 2 HAVING count(a) > 0
+      UNION ALL SELECT symbol, horizon, avg(greatest(0.9 * (a - q90), -0.1 * (a - q90))), coalesce(abs(avg(CAST(a <= q90 AS INT)) - 0.9) <= 0.03, false) FROM he GROUP BY 1, 2 HAVING count(a) > 0)
+    SELECT symbol, count(*) AS n_cells, count(*) FILTER (within) AS n_within, round(avg(pinball), 9) AS avg_pinball, count(*) FILTER (within) * 2 > count(*) AS majority_calibrated FROM cell GROUP BY 1""",
+)
+def holdout_corridor(spark, sf):
+    """Is the corridor calibrated on most horizons of the last seven days, per symbol?"""
+    return rounded(E.corridor_summary(holdout_cells(spark, sf), ["symbol"]), 9)
