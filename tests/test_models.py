@@ -5,10 +5,12 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import dist
-from tidemark.operators import models as MO
+from tidemark.operators import features as X, models as MO
 from tidemark.session import fresh_dir
 from tidemark.streaming import jobs as J
 
@@ -78,6 +80,70 @@ def test_late_trades_do_not_reopen_a_closed_bar(spark):
     assert [(r.ts, r.open, r.close, r.high, r.volume) for r in d] == [(t, 1.0, 3.0, 3.0, 2.0), (t + 2 * h, 5.0, 5.0, 5.0, 1.0)]
 
 
+def test_serving_features_go_on_after_a_crash(spark):
+    """Three batches of candles; the second fails once after its rows were written, and is run again from the state before it."""
+    base, src, ck = fresh_dir(spark, "serving"), fresh_dir(spark, "candles"), fresh_dir(spark, "ck")
+    schema = "symbol string, t long, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+    h = 3_600_000_000
+
+    def rows(symbol, lo, hi):
+        t0 = dt.datetime(2024, 1, 1)
+        return [(symbol, i * h, t0 + dt.timedelta(hours=i), 1.0, 2.0, 0.5, 1.0 + (i * 7 % 11) / 10, float(i * 5 % 13)) for i in range(lo, hi)]
+
+    batches = [rows("a", 0, 40), rows("b", 0, 3) + rows("a", 40, 55), rows("a", 53, 60) + rows("b", 3, 30)]  # 53 and 54 come again
+    job = J.ServingFeatures(spark, base, rows=24)
+    write = job.__call__
+
+    class Crash(J.ServingFeatures):
+        def __call__(self, both, batch):
+            write(both, batch)
+            if batch == 1:
+                raise RuntimeError("lost")
+
+    crash = Crash(spark, base, rows=24)
+    for i, b in enumerate(batches):
+        _write(spark, src, b, schema)
+        if i == 1:
+            with pytest.raises(StreamingQueryException):
+                crash.run(J.stream_table(spark, src), ck)
+        job.run(J.stream_table(spark, src), ck)
+    got = {}
+    for r in job.result().orderBy("ts").collect():
+        got.setdefault((r.symbol, r.t), []).append(r)
+    assert sorted(len(v) for v in got.values()) == [1] * 88 + [2] * 2
+    whole = spark.createDataFrame(rows("a", 0, 60) + rows("b", 0, 30), schema)
+    want = {(r.symbol, r.t): r for r in X.features(whole).collect()}
+    assert want.keys() == got.keys()
+    for k, v in got.items():
+        for r in v:
+            for c in ("ret", "ret_lag_12", "ret_mean_12", "vol_max_12"):
+                a, b = r[c], want[k][c]
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12), (k, c)
+    assert sorted(os.listdir(base)) == ["features"]
+
+
+def test_serving_state_holds_few_candles():
+    """Candles out of order, repeated and without a time: the newest are kept, as many as asked for."""
+    p = J.LastCandles(StructType.fromDDL("symbol string, t long, close double"), 5, 1000)
+
+    class Kept:
+        rows: list = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    p.state = Kept()
+    first = [("a", i * 37 % 101, float(i)) for i in range(101)] + [("a", None, 0.0)]
+    out = list(p.handleInputRows(("a",), iter(first), None))
+    assert len(out) == 102 and all(r.is_new for r in out) and [r[1] for r in p.state.rows] == [96, 97, 98, 99, 100]
+    out = list(p.handleInputRows(("a",), iter([("a", 98, -1.0), ("a", 95, -2.0)]), None))
+    assert [(r.t, r.is_new) for r in out] == [(98, True), (95, True), (96, False), (97, False), (99, False), (100, False)]
+    assert [r[1] for r in p.state.rows] == [96, 97, 98, 99, 100] and p.state.rows[2][2] == -1.0
+
+
 def test_upsert_replay_changes_nothing(spark):
     job = J.UpsertTable(spark, fresh_dir(spark, "up"), ["url"], ["id"])
     a = spark.createDataFrame([("u", 2), ("u", 1), ("v", 3)], "url string, id int")

@@ -86,8 +86,8 @@ def stream_serving_features(spark, sf):
     for lo, hi in zip(edges, edges[1:]):
         bars.filter((F.col("t") >= lo) & (F.col("t") < hi)).repartition(2).write.mode("append").parquet(src)
     job = J.ServingFeatures(spark, fresh_dir(spark, "serving"))
-    J.run_batches(J.stream_table(spark, src, files_per_trigger=2), job, fresh_dir(spark, "ck"))
-    return rounded(job.result().select("symbol", "ts", "ret_mean_36", "vol_max_144", "ret_lag_24"))
+    d = job.run(J.stream_table(spark, src, files_per_trigger=2), fresh_dir(spark, "ck"))
+    return rounded(d.select("symbol", "ts", "ret_mean_36", "vol_max_144", "ret_lag_24"))
 
 
 @query("stream_news_grid", with_(BARS, PJ.NEWS, PJ.DECAY) + f"SELECT symbol, ts, {r(PJ.N.DECAY_FEATURES)}, event_hack_60m, event_regulation_60m FROM dg")

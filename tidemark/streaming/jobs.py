@@ -7,16 +7,18 @@ on from its checkpoint. ``run`` drives a job through all data that is there (``a
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tidemark.operators import features as X, news as N, orderflow as O, upserts as U
 from tidemark.operators.blocks import from_micros, micros
 from tidemark.session import fresh_dir, settle
-from tidemark.tables import HOUR
+from tidemark.tables import DAY, HOUR
 
 
 def read_stream(spark: SparkSession, sf: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,6 +48,27 @@ def run(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+# State of own processors lives in RocksDB stores, which write their changes beside the checkpoint. No batches without
+# data: in processing time each would call for another one, and a run to the end of the input would have no end.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The settings of a stream with an own processor, put back afterwards."""
+    was = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    for k, v in KEYED_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -105,34 +128,77 @@ def matured_stream(predictions: DataFrame, actuals: DataFrame, horizon_us: int,
     )
 
 
+class LastCandles(StatefulProcessor):
+    """Per symbol the newest ``rows`` candles as keyed state; puts them beside the arriving ones, marked as not new.
+
+    What is held per symbol in a batch is ``rows`` candles, however many arrive. A candle that comes again replaces the
+    kept one of its time; a late candle is kept if it belongs to the newest. A symbol without candles for ``ttl_ms`` is
+    forgotten. Candles without a time pass through and are not kept.
+    """
+
+    def __init__(self, schema: StructType, rows: int, ttl_ms: int):
+        self.schema, self.rows, self.ttl_ms, self.t = schema, rows, ttl_ms, schema.names.index("t")
+        self.out = Row(*schema.names, "is_new")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("candles", self.schema, self.ttl_ms)
+
+    def newest(self, by_time: dict) -> dict:
+        return dict(sorted(by_time.items())[-self.rows :])
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = {r[self.t]: tuple(r) for r in self.state.get()}
+        kept, again = dict(held), set()
+        for r in rows:
+            r = tuple(r)
+            yield self.out(*r, True)
+            if r[self.t] is None:
+                continue
+            if r[self.t] in held:
+                again.add(r[self.t])
+            kept[r[self.t]] = r
+            if len(kept) >= 4 * self.rows:
+                kept = self.newest(kept)
+        for t, r in held.items():
+            if t not in again:
+                yield self.out(*r, False)
+        kept = self.newest(kept)
+        if kept:
+            self.state.put(list(kept.values()))
+
+    def close(self) -> None:
+        pass
+
+
 class ServingFeatures:
-    """Features of arriving candles from the last ``rows`` candles per symbol, kept as a small table.
+    """Features of arriving candles (symbol, t, ...) from the last ``rows`` candles per symbol.
 
-    The micro-batch and the kept candles go through the same feature operator as the batch job, so
-    serving and training cannot drift apart; only the means' start differs, and that has faded.
+    The kept candles are the keyed state of the stream, saved with its checkpoint, so a replayed batch starts from the
+    state before it. A batch and its kept candles go through the same feature operator as the batch job, so serving and
+    training cannot drift apart; only the means' start differs, and that has faded. A batch's rows are one folder of the
+    result, overwritten on replay. Empty batches write no rows.
     """
 
-    def __init__(self, spark: SparkSession, base: str, rows: int = 150, interval_us: int = HOUR):
-        self.spark, self.base, self.rows, self.interval = spark, base, rows, interval_us
+    def __init__(self, spark: SparkSession, base: str, rows: int = 150, interval_us: int = HOUR, ttl_ms: int = 90 * DAY // 1000):
+        self.spark, self.base, self.rows, self.interval, self.ttl_ms = spark, base, rows, interval_us, ttl_ms
 
-    def path(self, kind: str, batch: int) -> str:
-        return f"{self.base}/{kind}/batch={batch}"
+    def with_kept(self, candles: DataFrame) -> DataFrame:
+        """The stream of candles, each batch with the kept candles of its symbols (``is_new`` tells them apart)."""
+        out = StructType([*candles.schema.fields, StructField("is_new", BooleanType())])
+        return candles.groupBy("symbol").transformWithState(
+            LastCandles(candles.schema, self.rows, self.ttl_ms), out, outputMode="Append", timeMode="ProcessingTime"
+        )
 
-    def _state(self, batch: int, schema) -> DataFrame:
-        """State written by the previous batch: a replayed batch reads the same one again."""
-        if batch == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path("state", batch - 1))
+    def __call__(self, both: DataFrame, batch: int) -> None:
+        # Positions are counted before the windows: the batch is written once, so that the state is asked once.
+        f = X.features(settle(both), self.interval).filter("is_new").drop("is_new")
+        f.write.mode("overwrite").parquet(f"{self.base}/features/batch={batch}")
 
-    def __call__(self, candles: DataFrame, batch: int) -> None:
-        old = self._state(batch, candles.schema)
-        both = settle(old.withColumn("is_new", F.lit(False)).unionByName(candles.withColumn("is_new", F.lit(True))))
-        f = X.features(both, self.interval).filter("is_new").drop("is_new")
-        f.write.mode("overwrite").parquet(self.path("features", batch))
-        placed = X.with_position(both.drop("is_new"), X.KEYS, "t", self.interval * X.BLOCK_ROWS)
-        top = settle(placed.groupBy("symbol").agg(F.max("pos").alias("_top")))
-        keep = placed.join(top, "symbol").filter(F.col("pos") > F.col("_top") - self.rows)
-        keep.select(*candles.columns).write.mode("overwrite").parquet(self.path("state", batch))
+    def run(self, candles: DataFrame, checkpoint: str) -> DataFrame:
+        """Drive the stream through all candles that are there, and return the features of all batches."""
+        with keyed_state(self.spark):
+            run_batches(self.with_kept(candles), self, checkpoint)
+        return self.result()
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/features").drop("batch")
