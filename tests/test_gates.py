@@ -100,3 +100,26 @@ def test_corridor_needs_a_majority(spark):
     got = {r.symbol: (r.n_cells, r.n_within, r.avg_pinball, r.majority_calibrated) for r in corridor_summary(d, ["symbol"], tolerance=0.05).collect()}
     assert got == {"half": (2, 1, 2.0, False), "most": (4, 3, 2.0, True), "none": (2, 0, 1.0, False), "unseen": (2, 1, 2.0, False)}
     assert corridor_summary(d.limit(0), ["symbol"]).count() == 0
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["slot_audit"])
+def test_slot_listings_are_not_broadcast(spark, name):
+    # they are exploded from a table and look as small as that; the default threshold would take them at any size
+    from tidemark.plans import gates as PG
+
+    plan = final_plan(getattr(PG, name)(spark, "/root/testdata/sf0.01"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_name_is_missed_once_per_half(spark):
+    schema = "symbol string, slot string, has_metadata boolean, feature_columns array<string>, schema_version string, horizons array<long>, model_version string, quantile_levels array<string>, quantile_horizons array<long>, quantile_model_version string, quantile_schema_version string"
+    slots = spark.createDataFrame([("s", "candidate", True, ["a"], "x", [1, 2], "v", ["0.1"], [1, 2], "q", "x")], schema)
+    listed = spark.createDataFrame([("s", "candidate", "h1.txt"), ("s", "candidate", "h2_q0.1.txt"), ("s", "production", "h2.txt")], "symbol string, slot string, name string")
+    got = {r.problem for r in G.slot_problems(slots, listed).collect() if "missing" in r.problem}
+    assert got == {"point: h2.txt missing", "quantile: h1_q0.1.txt missing"}
+    assert {r.problem for r in G.slot_problems(slots, listed, quantiles=False).collect() if "missing" in r.problem} == {"point: h2.txt missing"}

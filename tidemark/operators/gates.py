@@ -7,6 +7,7 @@ missing metric (NULL or NaN) never passes a comparison.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -183,7 +184,8 @@ def slot_problems(slots: DataFrame, files: DataFrame, point: bool = True, quanti
 
     ``slots`` has feature_columns, schema_version, horizons, model_version, quantile_levels (strings),
     quantile_horizons, quantile_model_version, quantile_schema_version and ``has_metadata``;
-    ``files`` lists (symbol, slot, name). Expected files are an anti-join against the listing.
+    ``files`` lists (symbol, slot, name). Expected files are an anti-join against the listing, a sort-merge join whatever
+    the planner expects: a listing made by exploding looks as small as the table it comes from, and would be broadcast.
     """
     from tidemark.functions.text import schema_version
 
@@ -194,10 +196,10 @@ def slot_problems(slots: DataFrame, files: DataFrame, point: bool = True, quanti
     def rows(where: Column, text: Column) -> DataFrame:
         return live.filter(where).select(*key, text.alias("problem"))
 
-    def absent(expected: DataFrame, prefix: str) -> DataFrame:
-        gone = expected.join(files.select(*key, "name"), [*key, "name"], "left_anti")
-        return gone.select(*key, F.concat(F.lit(prefix), "name", F.lit(" missing")).alias("problem"))
+    def wanted(expected: DataFrame, prefix: str, name: Column) -> DataFrame:
+        return expected.select(*key, F.lit(prefix).alias("half"), name.alias("name"))
 
+    needs = []
     has_features = F.coalesce(F.size("feature_columns") > 0, F.lit(False))
     has_levels = F.coalesce(F.size("quantile_levels") > 0, F.lit(False))
     want = schema_version(F.col("feature_columns"))
@@ -211,19 +213,22 @@ def slot_problems(slots: DataFrame, files: DataFrame, point: bool = True, quanti
             .unionByName(rows(F.coalesce("model_version", F.lit("")) == "", F.lit("point: model_version missing")))
         )
         expected = live.select(*key, F.explode("horizons").alias("h"))
-        out = out.unionByName(absent(expected.select(*key, F.format_string("h%d.txt", "h").alias("name")), "point: "))
+        needs.append(wanted(expected, "point: ", F.format_string("h%d.txt", "h")))
     if quantiles:
         q = live.filter(has_levels)
         expected = q.select(*key, F.explode("quantile_horizons").alias("h"), "quantile_levels").select(
             *key, "h", F.explode("quantile_levels").alias("q")
         )
-        name = F.format_string("h%d_q%s.txt", "h", "q").alias("name")
-        out = out.unionByName(absent(expected.select(*key, name), "quantile: "))
+        needs.append(wanted(expected, "quantile: ", F.format_string("h%d_q%s.txt", "h", "q")))
         no_v = has_levels & (F.coalesce("quantile_model_version", F.lit("")) == "")
         out = out.unionByName(rows(no_v, F.lit("quantile: quantile_model_version missing")))
         if point:
             mixed = has_levels & ~F.col("quantile_schema_version").eqNullSafe(F.col("schema_version"))
             out = out.unionByName(rows(mixed, F.lit("mixed schema: point and corridor differ")))
+    if needs:
+        listed = files.select(*key, "name").hint("merge")
+        gone = reduce(DataFrame.unionByName, needs).join(listed, [*key, "name"], "left_anti")
+        out = out.unionByName(gone.select(*key, F.concat("half", "name", F.lit(" missing")).alias("problem")))
     return out
 
 
