@@ -107,7 +107,7 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["slot_audit"])
+@pytest.mark.parametrize("name", ["slot_audit", "gate_new_scheme"])
 def test_slot_listings_are_not_broadcast(spark, name):
     # they are exploded from a table and look as small as that; the default threshold would take them at any size
     from tidemark.plans import gates as PG

@@ -190,7 +190,8 @@ def gate_new_scheme(spark, sf):
     )
     prod = m.filter("slot = 'production'").select("symbol", c_("has_metadata").alias("has_production"), c_("schema_version").alias("ps0"))
     k = c_("k")
-    d = cand.join(prod, "symbol").join(n, "symbol", "left").withColumns(
+    # Merge joins: the planner takes rows exploded from a table for no more than the table, and would broadcast them.
+    d = cand.join(prod.hint("merge"), "symbol").join(n.hint("merge"), "symbol", "left").withColumns(
         {
             "ps": F.when(k % 16 == 1, "old").otherwise(c_("ps0")),
             "sanity": F.when(k % 5 != 0, k % 5 != 1),
