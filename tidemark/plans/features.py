@@ -207,16 +207,18 @@ def atr_14(spark, sf):
     return X.owned(d, [*ID, F.round("atr", 6).alias("atr"), (F.round("ret_atr_norm", 9) + 0.0).alias("ret_atr_norm")])
 
 
+# A log of what is not positive and a quotient by zero are NULL, as everywhere in the library.
 MICRO_SQL = f"""
-p AS (SELECT *, nullif(high - low, 0) AS rng, nullif(volume * close, 0) AS dv FROM rets),
-q AS (SELECT *, abs(ret) / dv AS amihud, 0.5 * ln(high/low)^2 - (2*ln(2)-1) * ln(close/open)^2 AS gk, abs(close-open)/rng AS body,
+p AS (SELECT *, CASE WHEN close > 0 AND prev > 0 THEN ln(close / prev) END AS ret, CASE WHEN high > 0 AND low > 0 THEN ln(high / low) END AS hl, CASE WHEN close > 0 AND open > 0 THEN ln(close / open) END AS co,
+  nullif(high - low, 0) AS rng, nullif(volume * close, 0) AS dv FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev FROM bars)),
+q AS (SELECT *, abs(ret) / dv AS amihud, 0.5 * hl^2 - (2*ln(2)-1) * co^2 AS gk, abs(close-open)/rng AS body,
   ((close-low)-(high-close))/rng AS clv, sign(ret)*volume/nullif({full('volume', 'avg', 12)}, 0) AS sv FROM p),
 l AS (SELECT symbol, ts, {full('amihud', 'avg', 12)} AS amihud_12, {full('amihud', 'avg', 36)} AS amihud_36,
   {full('gk', 'avg', 36)} AS gk_vol_36, {full('body', 'avg', 12)} AS body_frac_12, {full('clv', 'avg', 12)} AS clv_12,
   {full('clv', 'avg', 36)} AS clv_36, {full('sv', 'avg', 12)} AS signed_vol_12 FROM q)"""
 
 
-@query("microstructure", with_(BARS, RETS, MICRO_SQL) + f"SELECT symbol, ts, {r(X.MICRO)} FROM l")
+@query("microstructure", with_(BARS, MICRO_SQL) + f"SELECT symbol, ts, {r(X.MICRO)} FROM l")
 def microstructure(spark, sf):
     return rounded(X.microstructure(T.bars(spark, sf)).select(*ID, *X.MICRO))
 
