@@ -24,3 +24,12 @@ def test_microstructure_with_prices_of_zero(spark, tmp_path, price):
         CAST({price} AS DOUBLE) AS value, '' AS props FROM range(600) r(i)) TO '{tmp_path}/events.parquet'""")
     got = same(spark, "microstructure", tmp_path, connect(str(tmp_path)))
     assert len(got) == 200 and any(r.gk_vol_36 is not None for r in got) and all(r.gk_vol_36 != float("inf") for r in got)
+
+
+@pytest.mark.parametrize("name,table", [("stream_dedup", "documents"), ("stream_bars", "events")])
+def test_streams_read_tables_of_several_files(spark, sf, tmp_path, name, table):
+    spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert same(spark, name, tmp_path, con)

@@ -22,17 +22,18 @@ from tidemark.tables import DAY, HOUR
 
 
 def read_stream(spark: SparkSession, sf: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """One of the given tables as a stream of files."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(sf)
+    """One of the given tables, a file or a folder of part files, as a stream of files."""
+    # A pattern: a stream takes a plain path for a folder, and a filter of names sees the part files only.
+    return file_stream(spark, f"{sf}/{name}.parque[t]", spark.read.parquet(f"{sf}/{name}.parquet").schema, files_per_trigger)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A written table as a stream."""
-    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    return file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger)
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None) -> DataFrame:
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.parquet(path)
