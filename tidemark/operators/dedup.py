@@ -6,7 +6,8 @@ Similarity is TF-IDF cosine. The answer is that of walking the items in order, f
 2. Prefix filter: with terms in one global order (rare first), two vectors of cosine >= threshold share a term before
    the point where the rest of either vector is shorter than the threshold. Only those head terms make pairs, and a
    bound on the rest discards most of them before the full cosine is taken, so no pair is lost and few are computed.
-3. A long term list is cut into blocks, and every pair of blocks is a job of its own.
+3. Items are dealt to blocks of bounded size, and every pair of blocks is a cell of its own: what its items share is added
+   up inside the task, so disk holds heads and candidates, never the meetings on single terms.
 4. Items are decided in order, in batches as long as their own term lists make a number of pairs in proportion to the
    entries of all lists. The first-come rule is resolved inside the batch; what it keeps is kept for good and drops the
    later items it is similar to. A group of near copies is met by its first member only, so it never makes all its pairs.
@@ -17,6 +18,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.operators.upserts import first_per_key
@@ -26,7 +29,10 @@ from tidemark.session import settle
 THRESHOLD = 0.85
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 HEAD = 0.88  # length of the tail left out of the lists, as a share of the threshold
-BLOCK = 1024  # entries of a term list that one join cell holds from either side
+BLOCK = 65536  # items that one cell holds from either side, ...
+ENTRIES = 96  # ... at so many head terms each; longer heads make more blocks
+MEETINGS = 1 << 21  # of items on single terms that a cell adds up at a time
+SLACK = 1e-6  # more than the rounding of weights to floats; candidates are checked in double precision
 BATCH_LOAD = 64  # pairs per list entry that a batch may make
 FIRST = 256  # items of the smallest batch
 
@@ -68,40 +74,70 @@ def prefixes(vec: DataFrame, bound: float) -> DataFrame:
     return d.withColumn("s", s).filter(~tail).select("ord", "term", "w", "s")
 
 
-def in_cells(post: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
-    """``post`` with ``cell``: a list of m entries is cut into blocks, and every pair of blocks is a cell of its own.
+def in_cells(lists: DataFrame, blocks: int, left: bool, same: bool) -> DataFrame:
+    """(i, j, ord, s, terms, ws): a row per item and cell it takes part in.
 
-    ``sizes`` has (term, own, other): blocks of this side and of the other. An entry goes to one cell per block of the
-    other side, so a list that a third of all items hold is many joins of two blocks, not one of all its entries.
+    Items are dealt to ``blocks`` blocks, and every pair of blocks is a cell; of a table against itself only i <= j.
     """
-    mine = F.pmod(F.xxhash64("ord"), F.col(own))
-    j = post.join(sizes, "term")
-    there = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("_there")
-    d = j.select("*", mine.alias("_mine"), there)
-    cell = F.struct(F.col("_mine").alias("a"), F.col("_there").alias("b")) if own == "left" else F.struct(F.col("_there").alias("a"), F.col("_mine").alias("b"))
-    return d.withColumn("cell", cell).drop("left", "right", "_mine", "_there")
+    # Terms go as 64-bit hashes (two of them meet in a table of 10^8 terms with a chance of 3e-4), weights as floats.
+    rows = lists.groupBy("ord").agg(F.first("s").alias("s"), F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list(F.col("w").cast("float")).alias("ws"))
+    mine = F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int")
+    none, last = F.lit(0), F.lit(blocks - 1)
+    there = F.sequence(mine, last) if same and left else F.sequence(none, mine) if same else F.sequence(none, last)
+    ij = (mine.alias("i"), F.explode(there).alias("j")) if left else (F.explode(there).alias("i"), mine.alias("j"))
+    return rows.select(*ij, "ord", "s", "terms", "ws")
+
+
+def met(x: pd.DataFrame, y: pd.DataFrame, threshold: float, same: bool) -> pd.DataFrame:
+    """Pairs (lo, hi) of a cell that can reach the threshold: head products are added up for a run of items at a time."""
+    nx, ny = x["terms"].str.len().to_numpy(np.int64), y["terms"].str.len().to_numpy(np.int64)
+    xo, yo, xs, ys = (d[c].to_numpy() for c, d in (("ord", x), ("ord", y), ("s", x), ("s", y)))
+    xt, yt, xw, yw = (np.concatenate(d[c].to_numpy()) for c, d in (("terms", x), ("terms", y), ("ws", x), ("ws", y)))
+    order = np.argsort(yt, kind="stable")
+    yt, yw, yi = yt[order], yw[order].astype(float), np.repeat(np.arange(len(y)), ny)[order]
+    at = np.searchsorted(yt, xt)
+    size = np.searchsorted(yt, xt, side="right") - at
+    xw = xw.astype(float)
+    ends = np.cumsum(nx)
+    load = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]  # meetings before each item
+    lo, hi, k = [], [], 0
+    while k < len(x):
+        stop = max(k + 1, int(np.searchsorted(load, load[k] + MEETINGS, side="right")) - 1)
+        part = slice(ends[k] - nx[k], ends[stop - 1])
+        n = size[part]
+        e = np.repeat(np.arange(part.start, part.stop), n)
+        f = np.repeat(at[part] - np.cumsum(n) + n, n) + np.arange(len(e))
+        xi = np.repeat(np.arange(k, stop), nx[k:stop])[e - part.start]
+        key, group = np.unique(xi * len(y) + yi[f], return_inverse=True)
+        a, b = key // len(y), key % len(y)
+        p, mx, my = (np.bincount(group, v, len(key)) for v in (xw[e] * yw[f], xw[e] ** 2, yw[f] ** 2))
+        rest = np.maximum(xs[a] * np.sqrt(np.maximum(1 - my, 0)), ys[b] * np.sqrt(np.maximum(1 - mx, 0)))
+        good = p + rest >= threshold - SLACK
+        lo.append(xo[a[good]])
+        hi.append(yo[b[good]])
+        k = stop
+    a, b = np.concatenate(lo), np.concatenate(hi)
+    if same and x["i"].iat[0] != x["j"].iat[0]:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    return pd.DataFrame({"lo": a, "hi": b})[a < b]
 
 
 def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Pairs (lo, hi) of an item of ``a`` and a later one of ``b`` that can still reach the threshold.
 
     With p the product over shared head terms, the rest is at most the tail of the item whose head
-    ends first times what the other item has left after the shared terms.
+    ends first times what the other item has left after the shared terms. Both are found inside a cell, a pair of
+    blocks of items: meetings on single terms are neither shuffled nor written, whatever their number.
     """
-    blocks = lambda df, c: df.groupBy("term").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias(c))
-    sizes = settle(blocks(a, "left").join(blocks(b, "right"), "term"))
-    x = in_cells(a, sizes, "left", "right").select(F.col("ord").alias("x"), "term", "cell", F.col("w").alias("wx"), F.col("s").alias("sx"))
-    y = in_cells(b, sizes, "right", "left").select(F.col("ord").alias("y"), "term", "cell", F.col("w").alias("wy"), F.col("s").alias("sy"))
-    g = x.join(y, ["term", "cell"]).filter("x < y").groupBy("x", "y").agg(
-        F.sum(F.col("wx") * F.col("wy")).alias("p"), F.sum(F.col("wx") ** 2).alias("mx"), F.sum(F.col("wy") ** 2).alias("my"),
-        F.max("sx").alias("sx"), F.max("sy").alias("sy"),
-    )
+    same = a is b
+    entries = max(d.count() for d in ([a] if same else [a, b]))
+    blocks = int(entries // (BLOCK * ENTRIES)) + 1
+    x, y = (in_cells(d, blocks, left, same).groupBy("i", "j") for d, left in ((a, True), (b, False)))
 
-    def left(m):
-        return F.sqrt(F.greatest(1 - F.col(m), F.lit(0.0)))
+    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return met(x, y, threshold, same) if len(x) and len(y) else pd.DataFrame({"lo": [], "hi": []}, dtype="int64")
 
-    best = F.col("p") + F.greatest(F.col("sx") * left("my"), F.col("sy") * left("mx"))
-    return g.filter(best >= threshold - 1e-9).select(F.col("x").alias("lo"), F.col("y").alias("hi"))
+    return settle(x.cogroup(y).applyInPandas(cell, "lo long, hi long"))
 
 
 def verified(cands: DataFrame, vec: DataFrame, threshold: float) -> DataFrame:
@@ -184,7 +220,7 @@ def drop_near_duplicates(
     lists = settle(prefixes(vec, HEAD * threshold))
 
     def near(a: DataFrame, b: DataFrame) -> DataFrame:
-        return settle(verified(settle(candidates(a, b, threshold)), vec, threshold))
+        return settle(verified(candidates(a, b, threshold), vec, threshold))
 
     stay = blank
     while True:
