@@ -84,3 +84,17 @@ def test_against_all_pairs(spark, make_docs):
     near = {(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8}
     assert not [p for p in near if set(p) <= kept]
     assert {b for b in texts if b not in kept} <= {b for _, b in near}
+
+
+def test_fingerprints_find_copies_and_the_sets_decide(spark, make_docs, monkeypatch):
+    """With the second search off, what SimHash links goes if its shingle sets are near, and only then."""
+    rnd = random.Random(11)
+    base = [words(rnd, 400) for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base)] + [(100 + i, " ".join(edited(rnd, t, 1))) for i, t in enumerate(base)]
+    docs = make_docs(rows)
+    monkeypatch.setattr(N, "later_copies", lambda lists, sets: None)
+    kept = {r.doc_id for r in N.keep_first(docs).collect()}
+    assert set(range(20)) <= kept and len(kept) < 35
+    monkeypatch.setattr(N, "links", lambda prints: prints.crossJoin(prints.select(F.min("rep").alias("a"))).where("rep <> a").select("a", F.col("rep").alias("b")))
+    kept = {r.doc_id for r in N.keep_first(docs).collect()}
+    assert kept == {d for d, t in rows if d == 0 or jaccard(rows[0][1], t) < 0.8}

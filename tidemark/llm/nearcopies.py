@@ -1,6 +1,8 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Texts of equal sets collapse to one row first. Rows that share one of ``BANDS`` min-hash keys of ``ROWS`` minima with
+Texts of equal sets collapse to one row first. SimHash fingerprints of these rows are linked at ``BITS`` differing bits or
+fewer (``simhash.links``), and each linked row is held against the first of its group on the whole shingle sets; near ones
+go. Most pairs at 0.8 differ in more bits, so a second search follows among what is left. Rows that share one of ``BANDS`` min-hash keys of ``ROWS`` minima with
 another go on; a pair at the similarity of 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 20 = 2.7e-5, a closer one
 with less. Among those rows every shingle is counted, and each row is posted under its rarest ones: two sets as similar as
 that share one of them. What only a template has in common is too frequent to be posted, so unlike documents of one
@@ -17,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.base import over_batches, raw
-from tidemark.llm.simhash import shingle_hashes
+from tidemark.llm.graph import components
+from tidemark.llm.simhash import links, shingle_hashes, simhash
 from tidemark.session import settle
 
 WIDTH = 5  # words in a shingle
@@ -42,14 +45,24 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, d1, d2, keys): size and digest of the shingle set, and its band keys."""
+    """(doc_id, n, d1, d2, keys, bits): size and digest of the shingle set, its band keys, and the text's fingerprint."""
 
     def run(b: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingle_hashes(t, width)) for t in raw(b, "text")]
+        hashes = [shingle_hashes(t, width) for t in raw(b, "text")]
+        bits = np.array([simhash(h) for h in hashes], np.uint64).view(np.int64)
+        sets = [np.unique(h) for h in hashes]
         d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-        return {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "d1": d[:, 0], "d2": d[:, 1], "keys": [band_keys(s) for s in sets]}
+        return {"doc_id": b.column("doc_id"), "n": [len(s) for s in sets], "d1": d[:, 0], "d2": d[:, 1], "keys": [band_keys(s) for s in sets], "bits": bits}
 
-    return over_batches(docs.select("doc_id", "text"), "doc_id long, n long, d1 long, d2 long, keys array<long>", run)
+    return over_batches(docs.select("doc_id", "text"), "doc_id long, n long, d1 long, d2 long, keys array<long>, bits long", run)
+
+
+def grouped(reps: DataFrame) -> DataFrame:
+    """(a, b): each row of (rep, bits) with the first row of its fingerprint's group, if that is another one."""
+    prints = settle(reps.groupBy("bits").agg(F.min("rep").alias("rep")))
+    named = components(links(prints)).withColumnRenamed("node", "rep")
+    first = prints.join(named, "rep", "left").select("bits", F.coalesce("component", "rep").alias("a"))
+    return settle(reps.join(first, "bits").where("rep <> a").select("a", F.col("rep").alias("b")))
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -136,9 +149,12 @@ def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sig = settle(signatures(once, width))
     classes = settle(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     copies = sig.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("__gone"))
-    reps = sig.join(classes.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "keys")
-    some = settle(partnered(reps))
+    reps = sig.join(classes.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "keys", "bits")
+    pairs = grouped(reps.select("rep", "bits"))
+    some = settle(partnered(reps).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("rep"))).distinct())
     sets = settle(shingle_sets(once.join(some, once.doc_id == some["rep"], "left_semi"), width).withColumnRenamed("id", "rep"))
-    near = later_copies(settle(postings(sets)), sets)
+    close = settle(verified(pairs, sets).select(F.col("b").alias("rep")))
+    near = later_copies(settle(postings(sets.join(close, "rep", "left_anti"))), sets)
+    copies = copies.unionByName(close.select(F.col("rep").alias("__gone")))
     gone = settle(copies if near is None else copies.unionByName(near.select(F.col("rep").alias("__gone"))))
     return once.join(gone, once.doc_id == gone["__gone"], "left_anti").unionByName(docs.where("doc_id is null"))
