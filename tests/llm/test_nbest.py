@@ -85,3 +85,17 @@ def test_smallest_gaps_by_value_then_place():
         for k in (0, 1, 3):
             want = [i for i in sorted(range(len(gaps)), key=gaps.__getitem__)[:k] if gaps[i] < math.inf]
             assert N.smallest(N.np.array(gaps), k) == want
+
+
+def test_the_query_returns_the_ids_of_all_paths(spark, make_docs, lat, tmp_path):
+    from tidemark.llm import queries
+
+    texts = [None, "", "x", "the it", "ab cd é日", "in a on\n", "tion and " * 300, "a b c d e f g of the in on"]
+    make_docs(texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7(spark, str(tmp_path))
+    got = {r.doc_id: r for r in out.select("*", F.array_compact(F.array(*(N.path(k + 1) for k in range(N.N_BEST)))).alias("paths")).collect()}
+    assert len(got) == len(texts)
+    for d, t in enumerate(texts):
+        r, want = got[d], lat.text(t or "", N.N_BEST)
+        assert r.paths == [ids for _, ids in want] and r.scores == [s for s, _ in want] and r.n_paths == len(want)
+        assert r.digests == [N.digest(N.array("i", ids).tobytes()) for _, ids in want]

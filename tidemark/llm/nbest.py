@@ -20,16 +20,20 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.base import TOKENIZERS, over_batches
 from tidemark.llm.pieces import MARK, MODEL, Pieces, load
 
 N_BEST = 4
 CACHED = 1 << 18  # words with their best paths in a generation of a process's cache
+OTHERS = "array<array<struct<at:int,drop:int,ids:array<int>>>>"
 UNSEEN = 10.0  # what a character without a piece costs beyond the worst piece
 
 
+Swap = tuple[int, int, tuple[int, ...]]  # (at, drop, ids): ids in place of ``drop`` of the best ones from ``at`` on
+
+
 class Lattice:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -117,14 +121,14 @@ class Lattice:
         follows best edges from there. So two edges a position are enough, and no queue is needed.
         """
         size = len(word)
-        best, second = [0.0] + [-inf] * size, [-inf] * (size + 1)
-        edge: list = [None] * (size + 1)
+        # by the last character of an edge; [-1] is the start of the word
+        best, second = [-inf] * size + [0.0], [-inf] * size
+        edge: list = [None] * size
         other = edge.copy()
         bare = [] if self.single.issuperset(word) else [i for i, c in enumerate(word) if c not in self.single]
         at = 0
         for stop in [*bare, size]:
             for end, e in self.found.iter(word, at, stop) if at < stop else ():
-                end += 1
                 full = best[end - e[0]] + e[1]
                 if full > best[end]:  # longer pieces come first, so an equal score keeps the smaller start
                     second[end], other[end] = best[end], edge[end]
@@ -133,11 +137,11 @@ class Lattice:
                     second[end], other[end] = full, e
             at = stop + 1
             if stop < size:  # no piece crosses a character without one
-                best[at], edge[at] = best[stop] + self.unseen, (1, self.unseen, self.bytes_of(word[stop]))
+                best[stop], edge[stop] = best[stop - 1] + self.unseen, (1, self.unseen, self.bytes_of(word[stop]))
         ids: list = []
-        done, top, leave, tail = 0.0, -inf, 0, 0.0
-        at = size
-        while at:
+        done, top, leave, tail = 0.0, -inf, -1, 0.0
+        at = size - 1
+        while at >= 0:
             if second[at] > -inf and second[at] + done >= top:
                 top, leave, tail = second[at] + done, at, done
             size, score, piece = edge[at]
@@ -146,12 +150,12 @@ class Lattice:
             at -= size
         ids.reverse()
         loss = inf
-        if leave:
+        if leave >= 0:
             size, score, _ = other[leave]
-            while leave:
+            while leave >= 0:
                 tail += score
                 leave -= size
-                if leave:
+                if leave >= 0:
                     size, score, _ = edge[leave]
             loss = done - tail
         if bare:
@@ -159,35 +163,39 @@ class Lattice:
             return done, loss, ids, surface_of(self.pieces, ids) == word
         return done, loss, ids, "".join(map(self.pieces.texts.__getitem__, ids)) == word
 
-    def best(self, text: str, n: int) -> tuple[list[float], list[bytes], bool]:
-        """Scores and packed ids of the n best segmentations of a whole text, fewer if there are fewer; and whether
-        they all read back as the text."""
+    def best(self, text: str, n: int) -> tuple[list[float], list[bytes], bool, list[list[Swap]]]:
+        """Scores and packed ids of the n best segmentations of a whole text, fewer if there are fewer; whether
+        they all read back as the text; and what each of those after the best one has in place of its ids."""
         parts = self.pieces.parts(text)
         if not parts:
-            return [0.0], [b""], not text
+            return [0.0], [b""], not text, []
         words = list(map(self.words.__getitem__, parts))
         gaps = map(itemgetter(1), words)
         packed = list(map(itemgetter(2), words))
         first = sum(map(itemgetter(0), words))
         open_ = smallest(np.fromiter(gaps, np.float64, len(words)), n - 1)
         options = [self.word(parts[i], n) for i in open_]
-        scores, out = [], []
         reads = all(map(itemgetter(3), words)) and sum(map(len, parts)) == len(text) + 1
-        for loss, picks in best_swaps(options, n):
-            own = packed
-            if picks:
-                own = packed.copy()
-                for k, r in picks.items():
-                    ids = options[k][r][1]
-                    own[open_[k]] = array("i", ids).tobytes()
-                    reads = reads and surface_of(self.pieces, ids) == parts[open_[k]]
+        top = b"".join(packed)
+        ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))
+        scores, out, swaps = [first], [top], []
+        for loss, picks in best_swaps(options, n)[1:]:
+            own, kept, here = [], 0, []
+            for k, r in sorted(picks.items(), key=lambda x: open_[x[0]]):
+                ids, end = options[k][r][1], int(ends[open_[k]])
+                at = end - len(packed[open_[k]])
+                own += top[kept:at], array("i", ids).tobytes()
+                kept = end
+                here.append((at // 4, (end - at) // 4, ids))
+                reads = reads and surface_of(self.pieces, ids) == parts[open_[k]]
             scores.append(first - loss)
-            out.append(b"".join(own))
-        return scores, out, reads
+            out.append(b"".join([*own, top[kept:]]))
+            swaps.append(here)
+        return scores, out, reads, swaps
 
     def text(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text as (score, ids)."""
-        scores, packed, _ = self.best(text, n)
+        scores, packed, _, _ = self.best(text, n)
         return [(s, np.frombuffer(p, np.int32).tolist()) for s, p in zip(scores, packed)]
 
 
@@ -280,9 +288,12 @@ def segmentations(docs: DataFrame, n: int = N_BEST, model: str = MODEL, folder:
 
 
 def encoded(docs: DataFrame, n: int = N_BEST, model: str = MODEL, folder: str | None = TOKENIZERS, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, n_paths, ids array<int>, scores array<double>, digests array<long>, round_trip): the best segmentation
-    of each text with the scores and id digests of the n best; ``round_trip``: every one reads back
-    as the text (a mark in the text is read as the space it stands for).
+    """(doc_id, n_paths, ids array<int>, others array<array<struct<at, drop, ids>>>, scores array<double>,
+    digests array<long>, round_trip): the n best segmentations of each text. ``ids`` is the best one; each of ``others``,
+    in order, is the best one with ``drop`` ids from place ``at`` on (the first is 0) replaced by others, once or more
+    from left to right, at most n - 1 times. ``path`` spells one out. ``scores`` and ``digests`` (of the whole ids) are
+    those of all paths; ``round_trip``: every one reads back as the text (a mark in the text is read as the space it
+    stands for).
 
     Columns named in ``keep`` come along as ``__keep_0`` and so on, whatever their names.
     """
@@ -291,11 +302,12 @@ def encoded(docs: DataFrame, n: int = N_BEST, model: str = MODEL, folder: str |
         lat = lattice(model, folder)
 
         def run(b: pa.RecordBatch) -> dict:
-            out: dict = {k: [] for k in ("n_paths", "ids", "scores", "digests", "round_trip")}
+            out: dict = {k: [] for k in ("n_paths", "ids", "others", "scores", "digests", "round_trip")}
             for t in b.column("text").to_pylist():
-                scores, packed, reads = lat.best(t or "", n)
+                scores, packed, reads, swaps = lat.best(t or "", n)
                 out["n_paths"].append(len(scores))
                 out["ids"].append(np.frombuffer(packed[0], np.int32))
+                out["others"].append(swaps)
                 out["scores"].append(scores)
                 out["digests"].append([digest(p) for p in packed])
                 out["round_trip"].append(reads)
@@ -305,10 +317,25 @@ def encoded(docs: DataFrame, n: int = N_BEST, model: str = MODEL, folder: str |
 
     carried = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
     types = "".join(f", __keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    schema = "doc_id long, n_paths int, ids array<int>, scores array<double>, digests array<long>, round_trip boolean" + types
+    schema = f"doc_id long, n_paths int, ids array<int>, others {OTHERS}, scores array<double>, digests array<long>, round_trip boolean" + types
     return over_batches(docs.select("doc_id", "text", *carried), schema, None, start)
 
 
+def path(rank: int, ids: str | Column = "ids", others: str | Column = "others") -> Column:
+    """The ids of the segmentation of that rank (the best is 1) from two columns of ``encoded``; NULL if there is none."""
+    ids, others = (F.col(c) if isinstance(c, str) else c for c in (ids, others))
+    if rank == 1:
+        return ids
+    swaps, end = F.get(others, rank - 2), F.size(ids)
+    none = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("kept"))
+
+    def swap(done: Column, s: Column) -> Column:
+        part = F.slice(ids, done["kept"] + 1, s["at"] - done["kept"])
+        return F.struct(F.concat(done["ids"], part, s["ids"]).alias("ids"), (s["at"] + s["drop"]).alias("kept"))
+
+    return F.aggregate(swaps, none, swap, lambda done: F.concat(done["ids"], F.slice(ids, done["kept"] + 1, end - done["kept"])))
+
+
 def with_pieces(docs: DataFrame, n: int = N_BEST, **where) -> DataFrame:
     """``docs`` with piece_ids (the best segmentation), piece_scores (of the n best) and round_trip."""
     cols = docs.columns

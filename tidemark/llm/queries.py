@@ -51,8 +51,8 @@ def op6(spark, sf):
 
 @query("op7_nbest_pieces")
 def op7(spark, sf):
-    """Best segmentation of every text with the scores of the n best, and whether all of them decode to the text."""
-    return nbest.encoded(table(spark, sf, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_paths", "ids", "scores", "digests", "round_trip")
+    """The n best segmentations of every text with their scores, and whether all of them decode to the text."""
+    return nbest.encoded(table(spark, sf, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_paths", "ids", "others", "scores", "digests", "round_trip")
 
 
 @query("op8_simhash_near_dedup")
