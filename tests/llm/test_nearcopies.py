@@ -98,3 +98,24 @@ def test_fingerprints_find_copies_and_the_sets_decide(spark, make_docs, monkeypa
     monkeypatch.setattr(N, "links", lambda prints: prints.crossJoin(prints.select(F.min("rep").alias("a"))).where("rep <> a").select("a", F.col("rep").alias("b")))
     kept = {r.doc_id for r in N.keep_first(docs).collect()}
     assert kept == {d for d, t in rows if d == 0 or jaccard(rows[0][1], t) < 0.8}
+
+
+def test_sets_with_much_in_common_that_are_not_near_make_few_pairs(spark, make_docs, monkeypatch):
+    """One text with one of 40 words replaced, and one line with own words after it: most are 0.6 to 0.79 alike."""
+    rnd = random.Random(4)
+    base, line = words(rnd, 40), words(rnd, 30)
+    rows = [" ".join(edited(rnd, base, 1)) for _ in range(150)] + [" ".join(line + words(rnd, rnd.randint(5, 11))) for _ in range(150)]
+    rnd.shuffle(rows)
+    made = []
+    verified = N.verified
+
+    def counted(pairs, sets):
+        made.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(N, "verified", counted)
+    kept = {r.doc_id for r in N.keep_first(make_docs(rows)).collect()}
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in map(str.split, rows)]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if 9 * len(shingles[a] & shingles[b]) >= 4 * (len(shingles[a]) + len(shingles[b]))}
+    assert not [p for p in near if set(p) <= kept] and set(range(len(rows))) - kept <= {b for _, b in near}
+    assert sum(made) < 3 * len(rows) and sum(len(a & b) > 20 for a in shingles[:50] for b in shingles[50:]) > 3000

@@ -81,11 +81,21 @@ def partnered(reps: DataFrame) -> DataFrame:
     return keys.join(shared, "key", "left_semi").select("rep").distinct()
 
 
+def reaches(left, n, m):
+    """Whether a set of n shingles can be near one of m, if the two have at most ``left`` in common."""
+    up, down = NEAR
+    return left * (up + down) >= (n + m) * up
+
+
 def postings(sets: DataFrame) -> DataFrame:
-    """(h, rep, n): each set (rep, s) under those of its rarest shingles that another set has too.
+    """(h, rep, n, left): each set (rep, s) under those of its rarest shingles that another set has too, with the number
+    of its shingles from there on.
 
     A set of n shingles is posted under its n - ceil(0.8 n) + 1 rarest, ties by hash. Shingles that no other set has
-    come first in that order and need no posting.
+    come first in that order and need no posting. Where the first shingle that two sets share stands, the rest of
+    either bounds what they share; so a place serves only partners up to some size. One that does not serve partners of
+    its own size waits for smaller ones, and goes if its list has none. Of sets that have a large part in common and are
+    still not near, hardly a place is left.
     """
     up, down = NEAR
     each = sets.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
@@ -93,7 +103,10 @@ def postings(sets: DataFrame) -> DataFrame:
     known = each.join(df, "h")
     w = Window.partitionBy("rep")
     at = F.row_number().over(w.orderBy("df", "h")) + F.col("n") - F.count(F.lit(1)).over(w)
-    return known.withColumn("__at", at).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1).select("h", "rep", "n")
+    kept = known.withColumn("__at", at).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1)
+    left = kept.select("h", "rep", "n", (F.col("n") - F.col("__at") + 1).alias("left"))
+    least = F.min(F.when(reaches(F.col("left"), F.col("n"), F.col("n")), F.col("n"))).over(Window.partitionBy("h"))
+    return left.withColumn("__least", least).where(reaches(F.col("left"), F.col("n"), F.col("__least"))).drop("__least")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -107,15 +120,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def later_copies(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(rep): rows with a near copy of a smaller number, so that no two of the others are near; None without pairs.
 
-    ``lists`` are postings (h, rep, n). A round takes the first 1, 2, 4, ... rows of every list as leaders and holds the
+    ``lists`` are postings (h, rep, n, left). A round takes the first 1, 2, 4, ... rows of every list as leaders and holds the
     list's later rows against them; linked rows leave all lists, leaders leave the list they have led.
     """
     up, down = NEAR
     out, done, leaders = None, None, 1
-    fits = F.least("na", "n") * down >= F.greatest("na", "n") * up
+    fits = (F.least("na", "n") * down >= F.greatest("na", "n") * up) & reaches(F.least("lefta", "left"), F.col("na"), F.col("n"))
     while True:
         first = F.row_number().over(Window.partitionBy("h").orderBy("rep"))
-        lead = settle(lists.withColumn("__k", first).where(F.col("__k") <= leaders).select("h", F.col("rep").alias("a"), F.col("n").alias("na")))
+        lead = settle(lists.withColumn("__k", first).where(F.col("__k") <= leaders).select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("left").alias("lefta")))
         pairs = lists.join(lead, "h").where((F.col("a") < F.col("rep")) & fits).select("a", F.col("rep").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
