@@ -125,3 +125,19 @@ def test_empty(spark, make_docs):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     got = M.scores(make_docs([(i, "a b") for i in held])).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.base_score, 0.0) for r in got)
+
+
+def test_looked_up_rows_are_the_hashed_ones():
+    rng = np.random.default_rng(6)
+    codes = np.where(rng.random(900) < 0.3, -1, rng.integers(0, 6000, 900)) << 8 | rng.integers(0, 64, 900)
+    starts = np.array([0, 1, 5, 400])
+    ev = M.events(codes, starts)
+    for t in (0, 1, 5, 399, 400, 402, 899):
+        first = starts[starts <= t].max()
+        end = [int(codes[t - k] & 255) if t - k >= first else 64 for k in (1, 2)]
+        words = [(int(codes[t - k]) >> 8, int(codes[t - k]) & 255) if t - k >= first else (-1, 64) for k in (1, 2, 3)]
+        i = [p if 0 <= p < M.OUT else M.OUT + e for p, e in words]
+        cls = ev["cls"][t]
+        want = [M.hashed(1, i[0]), M.hashed(2, end[0]), M.hashed(3, i[0], i[1]), M.hashed(4, i[1]), M.hashed(5, i[2])]
+        assert ev["top"][:, t].tolist() == [int(x[0]) for x in want]
+        assert ev["inner"][:, t].tolist() == [int(M.hashed(*k)[0]) for k in ((7, end[0], cls), (8, end[1], cls), (9, i[0], cls))]

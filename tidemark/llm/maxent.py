@@ -154,6 +154,15 @@ def hashed(*parts: np.ndarray | int) -> np.ndarray:
     return np.maximum((out >> np.uint64(65 - ROWS.bit_length())).astype(np.int64), 1)
 
 
+# Rows of the features of small domains, looked up instead of hashed at every token: one word in front, two or three back;
+# an ending one or two back with the class; the word in front with the class.
+_IDENT, _END, _CLS = np.arange(OUT + ENDS), np.arange(ENDS), np.arange(CLASSES)
+WORD_ROWS = [hashed(k, _IDENT).astype(np.int32) for k in (1, 4, 5)]
+END_ROWS = hashed(2, _END).astype(np.int32)
+END_CLASS_ROWS = [hashed(k, _END[:, None], _CLS).astype(np.int32).ravel() for k in (7, 8)]
+WORD_CLASS_ROWS = hashed(9, _IDENT[:, None], _CLS).astype(np.int32).ravel()
+
+
 def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """Classes, slots and feature rows of the tokens of several texts in a row; ``starts``: first token of each."""
     place, end = codes >> 8, codes & 255
@@ -171,9 +180,12 @@ def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
     i1, i2, i3 = (back(ident, k, OUT + 64) for k in (1, 2, 3))
     e1, e2 = (back(end, k, 64) for k in (1, 2))
-    top = [hashed(1, i1), hashed(2, e1), hashed(3, i1, i2), hashed(4, i2), hashed(5, i3)]
-    inner = [hashed(7, e1, cls), hashed(8, e2, cls), hashed(9, i1, cls)]
-    return {"cls": cls, "slot": slot, "known": known, "top": np.stack(top), "inner": np.stack(inner), "before": i1, "end": e1}
+    top, inner = np.empty((5, len(codes)), np.int64), np.empty((3, len(codes)), np.int64)
+    top[0], top[1], top[2] = WORD_ROWS[0][i1], END_ROWS[e1], hashed(3, i1, i2)
+    top[3], top[4] = WORD_ROWS[1][i2], WORD_ROWS[2][i3]
+    inner[0], inner[1] = END_CLASS_ROWS[0][e1 * CLASSES + cls], END_CLASS_ROWS[1][e2 * CLASSES + cls]
+    inner[2] = WORD_CLASS_ROWS[i1 * CLASSES + cls]
+    return {"cls": cls, "slot": slot, "known": known, "top": top, "inner": inner, "before": i1, "end": e1}
 
 
 class Model:
@@ -200,7 +212,7 @@ class Model:
 
     def word_odds(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """exp of the word scores inside the class, up to a factor a row."""
-        return _odds((self.prior_inner + self.inner[CLASS_ROWS])[cls], self.inner, rows)
+        return _odds(np.take(self.prior_inner + self.inner[CLASS_ROWS], cls, axis=0), self.inner, rows)
 
     def sums(self, head_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the word in front gives to the classes, and its ending to a class's words, summed once for every such
@@ -217,11 +229,11 @@ class Model:
         for i in range(0, len(out), CHUNK):
             at = slice(i, i + CHUNK)
             cls, top = ev["cls"][at], ev["top"][:, at]
-            p = _share(_odds(sums[0][ev["before"][at]], self.top, top[2:]) if sums else self.class_odds(top), cls)
+            p = _share(_odds(np.take(sums[0], ev["before"][at], axis=0), self.top, top[2:]) if sums else self.class_odds(top), cls)
             k = np.flatnonzero(ev["known"][at])
             if len(k):
                 own, inner = cls[k], ev["inner"][:, at][:, k]
-                odds = _odds(sums[1][own * ENDS + ev["end"][at][k]], self.inner, inner[1:]) if sums else self.word_odds(inner, own)
+                odds = _odds(np.take(sums[1], own * ENDS + ev["end"][at][k], axis=0), self.inner, inner[1:]) if sums else self.word_odds(inner, own)
                 p[k] *= _share(odds, ev["slot"][at][k])
             out[at] = np.log10(np.maximum(p, 1e-30))
         return out
