@@ -141,3 +141,43 @@ def test_looked_up_rows_are_the_hashed_ones():
         want = [M.hashed(1, i[0]), M.hashed(2, end[0]), M.hashed(3, i[0], i[1]), M.hashed(4, i[1]), M.hashed(5, i[2])]
         assert ev["top"][:, t].tolist() == [int(x[0]) for x in want]
         assert ev["inner"][:, t].tolist() == [int(M.hashed(*k)[0]) for k in ((7, end[0], cls), (8, end[1], cls), (9, i[0], cls))]
+
+
+def test_documents_are_coded_once(spark, make_docs, monkeypatch):
+    rows = [(1, "B a b c"), (4, None), (3, "a " * 5 + "zz"), (None, "a"), (9, " \n"), (7, "c c a é")]
+    keys = np.array([M.key(b"a"), M.key(M.END)])
+    t = M.coded(make_docs(rows).coalesce(1), spark.sparkContext.broadcast(keys), 2)
+    assert t.columns == ["row", "doc_id", "part", "size", "codes", "keys", "times"]  # no text is read after this
+    got = {r.doc_id: r for r in t.collect()}
+    plain, _ = plain_base(rows)
+    assert sum(len(r.codes) // 4 for d, r in got.items() if r.part >= 0) == plain and len({r.row for r in got.values()}) == len(rows)
+    want = {}
+    for d, text in rows:
+        raw, r, vocab = (text or "").encode(), got[d], M.Vocabulary(keys)
+        want[d] = M._coded([raw], vocab)[0]
+        assert np.frombuffer(r.codes, np.int32).tolist() == want[d].tolist() and r.size == len(raw)
+        outside = Counter(M.key(w) for w in raw.lower().split() if w != b"a")
+        assert dict(zip(r["keys"], r.times)) == outside
+        assert r.part in ((-1,) if d is None or zlib.crc32(str(d).encode()) % 5 == 1 else (0, 1))
+    monkeypatch.setattr(M, "SLICE", 12)
+    pieces = [x for b in t.select("doc_id", "size", "codes").toArrow().to_batches() for x in M._read(b)]
+    assert len(pieces) > 2
+    for s, codes, starts in pieces:
+        for d, mine in zip(s.column("doc_id").to_pylist(), np.split(codes, starts[1:])):
+            assert mine.tolist() == want[d].tolist()
+
+
+def test_draws_are_those_of_the_running_sum():
+    rng = np.random.default_rng(2)
+    for width in (80, 64):
+        odds = rng.random((3000, width), np.float32) ** 8
+        odds[rng.random(odds.shape) < 0.5] = 0
+        odds[:, 3] = 1e-3
+        u = rng.random((3000, 1), np.float32)
+        got = M._drawn(u, odds.copy())
+        plain = np.cumsum(odds, axis=1, dtype=float)
+        assert (odds[np.arange(3000), got] > 0).all()
+        assert (got != (plain >= u * plain[:, -1:]).argmax(1)).sum() <= 3  # sums rounded otherwise
+    rows = rng.integers(0, 50, (2, 100))
+    table, z = rng.normal(size=(50, 8)), rng.normal(size=(100, 8))
+    assert np.allclose(M._times(np.exp(z), np.exp(table), rows), M._odds(z.copy(), table, rows))

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress
+from itertools import chain, compress, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,14 @@ OUT, SLOTS, RARE = 4096, 64, 16
 CLASSES = OUT // SLOTS + RARE
 ROWS = 1 << 13  # hashed feature rows of either table
 HEAD = 1 << 18  # words whose counts every task holds
+GROUP = 8  # columns drawn from at a time
 CHUNK = 1024  # tokens of a gradient step, or scored at a time
 ROUNDS = 4
 ENDS = 65  # endings, and none
 RATE, DAMP = 0.2, 8.0  # a weight that has moved n times moves by RATE / sqrt(n + DAMP)
 SAFE = 60.0  # scores whose exp neither overflows nor vanishes
+SPAN = 80.0  # scores less than this apart keep all their digits as products of odds
+SLICE = 1 << 20  # bytes of text worked on at a time, or one text
 FOLDS, HELD = 5, 1  # documents with crc32(doc_id) mod 5 = 1 teach nothing
 END = b"\n"  # no word can hold it
 FLUSH = 1 << 19  # different words a counting task holds before it passes them on
@@ -55,9 +59,22 @@ def key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Endings(dict):
+    """Last bytes of a word: their number, 0 to 63."""
+
+    def __missing__(self, last: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        got = self[last] = xxhash.xxh32_intdigest(last, 3) & 63
+        return got
+
+
+_endings = Endings()
+
+
 def ending(word: bytes) -> int:
     """0 to 63, by the last three bytes without punctuation."""
-    return xxhash.xxh32_intdigest(word.strip(b".,;:!?\"'()")[-3:] or word[-1:], 3) & 63
+    return _endings[word.strip(b".,;:!?\"'()")[-3:] or word[-1:]]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -188,6 +205,16 @@ def events(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return {"cls": cls, "slot": slot, "known": known, "top": top, "inner": inner, "before": i1, "end": e1}
 
 
+class Sums(NamedTuple):
+    """Scores that share contexts, summed, and the weights to add to them; or the exp of all, where ``odds`` multiplies."""
+
+    after: np.ndarray
+    inside: np.ndarray
+    top: np.ndarray
+    inner: np.ndarray
+    odds: Callable
+
+
 class Model:
     """Weights of classes (ROWS, CLASSES) and of words inside classes (ROWS, SLOTS)."""
 
@@ -214,26 +241,31 @@ class Model:
         """exp of the word scores inside the class, up to a factor a row."""
         return _odds(np.take(self.prior_inner + self.inner[CLASS_ROWS], cls, axis=0), self.inner, rows)
 
-    def sums(self, head_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums(self, head_end: np.ndarray) -> Sums:
         """What the word in front gives to the classes, and its ending to a class's words, summed once for every such
         word and ending instead of at every token; right until the next step."""
         end = np.r_[np.resize(head_end[:OUT], OUT) if len(head_end) else np.zeros(OUT, np.int64), np.arange(ENDS)]
         ident = np.arange(OUT + ENDS)
         after = self.prior_top + self.top[0] + self.top[hashed(1, ident)] + self.top[hashed(2, end)]
         cls, end = (x.ravel() for x in np.indices((OUT // SLOTS, ENDS)))
-        return after, (self.prior_inner + self.inner[CLASS_ROWS])[cls] + self.inner[hashed(7, end, cls)]
-
-    def log10(self, ev: dict[str, np.ndarray], sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        inside = (self.prior_inner + self.inner[CLASS_ROWS])[cls] + self.inner[hashed(7, end, cls)]
+        after, inside = (x - x.max(axis=1, keepdims=True) if x.size else x for x in (after, np.where(self.sizes[cls, None] > 0, inside, 0)))
+        low = [-float(np.min(x, where=np.isfinite(x), initial=0)) + 3 * float(np.abs(t).max()) for x, t in ((after, self.top), (inside, self.inner))]
+        if max(low) < SPAN:
+            return Sums(*(np.exp(x, dtype=np.float32) for x in (after, inside, self.top, self.inner)), _times)
+        return Sums(after, inside, self.top, self.inner, _odds)
+
+    def log10(self, ev: dict[str, np.ndarray], sums: Sums | None = None) -> np.ndarray:
         """log10 P(class) and, for words with a slot, + log10 P(word | class), token by token."""
         out = np.empty(len(ev["cls"]))
         for i in range(0, len(out), CHUNK):
             at = slice(i, i + CHUNK)
             cls, top = ev["cls"][at], ev["top"][:, at]
-            p = _share(_odds(np.take(sums[0], ev["before"][at], axis=0), self.top, top[2:]) if sums else self.class_odds(top), cls)
+            p = _share(sums.odds(np.take(sums.after, ev["before"][at], axis=0), sums.top, top[2:]) if sums else self.class_odds(top), cls)
             k = np.flatnonzero(ev["known"][at])
             if len(k):
                 own, inner = cls[k], ev["inner"][:, at][:, k]
-                odds = _odds(np.take(sums[1], own * ENDS + ev["end"][at][k], axis=0), self.inner, inner[1:]) if sums else self.word_odds(inner, own)
+                odds = sums.odds(np.take(sums.inside, own * ENDS + ev["end"][at][k], axis=0), sums.inner, inner[1:]) if sums else self.word_odds(inner, own)
                 p[k] *= _share(odds, ev["slot"][at][k])
             out[at] = np.log10(np.maximum(p, 1e-30))
         return out
@@ -274,14 +306,42 @@ def _odds(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
+def _times(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """As ``_odds``, of odds instead of scores."""
+    part = np.empty_like(z)
+    for r in rows:
+        np.take(table, r, axis=0, out=part, mode="clip")
+        z *= part
+    return z
+
+
+def _reach(sums: np.ndarray, aim: np.ndarray) -> np.ndarray:
+    """For every column the first row at which the sums are at least ``aim``, the last at most."""
+    return np.add.reduce((sums[:-1] < aim).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+
+
+def _running(parts: np.ndarray) -> np.ndarray:
+    """Parts, summed up over the rows in place."""
+    for a, b in pairwise(parts):
+        b += a
+    return parts
+
+
 def _drawn(u: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """One column a row, drawn by its odds with the uniform numbers ``u``; ``odds`` are used up."""
-    c = np.cumsum(odds, axis=1, out=odds)
-    return (c >= u * c[:, -1:]).argmax(1)
+    """One column a row, drawn by its odds with the uniform numbers ``u``: first a group of columns, then one of it."""
+    n, width = odds.shape
+    size = GROUP if width % GROUP == 0 else width
+    k, groups = np.arange(n), width // size
+    sums = np.zeros((groups + 1, n), np.float32)
+    sums[1:] = (odds @ np.repeat(np.eye(groups, dtype=np.float32), size, axis=0)).T
+    aim = u[:, 0] * _running(sums)[-1]
+    group = _reach(sums[1:], aim)
+    own = _running(np.take(odds.reshape(-1, size), k * groups + group, axis=0).T.copy())
+    return group * size + _reach(own, np.minimum(aim - np.take(sums, group * n + k), own[-1]))
 
 
 def _share(odds: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return odds[np.arange(len(of)), of].astype(float) / odds.sum(axis=1, dtype=float)
+    return odds[np.arange(len(of)), of].astype(float) / (odds @ np.ones(odds.shape[1], odds.dtype))
 
 
 def _coded(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -304,38 +364,74 @@ def _tails(words: list[list[bytes]], starts: np.ndarray, tail: np.ndarray, vocab
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts have some MB together, one at least."""
-    size = np.cumsum([len(t or b"") for t in raw(b, "text")])
+    """Rows whose texts (of ``size`` bytes) make ``SLICE`` together, one at least."""
+    size = np.cumsum(b.column("size").to_numpy())
     at = 0
     while at < b.num_rows:
-        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right"))
+        upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right"))
         upto = max(upto, at + 1)
         yield b.slice(at, upto - at)
         at = upto
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, keys: Broadcast | None = None) -> Model:
-    """Weights after one pass over ``docs`` (doc_id, text), dealt over the rounds by hash of the text; ``keys``: those of
-    ``counts``, where they are with the tasks already."""
+def coded(docs: DataFrame, keys: Broadcast, rounds: int = ROUNDS) -> DataFrame:
+    """(row, doc_id, part, size, codes, keys, times) of every row of ``docs`` (doc_id, text), written once for training and
+    scoring: ``part`` is the round in which it teaches, by hash of the text, or -1; ``size`` its text's bytes; ``codes`` are its tokens' places in the
+    head and endings (see ``Vocabulary``) as 4-byte integers; then come its keys outside the head and their numbers."""
+    part = F.when(fold("doc_id", FOLDS) != HELD, F.pmod(F.xxhash64(F.lit("round"), "text"), F.lit(rounds)).cast("int")).otherwise(-1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, task, row = vocabulary(keys.value), TaskContext.get().partitionId(), 0
+        for b in batches:
+            for s in _slices(b):
+                codes, starts, words = _coded(raw(s, "text"), vocab)
+                n = s.num_rows
+                cuts = np.r_[starts, len(codes)] * 4
+                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(codes.astype(np.int32))])
+                cols = [
+                    pa.array((np.arange(n) + row) | (task << 40), pa.int64()),
+                    s.column("doc_id").cast(pa.int64()),
+                    s.column("part"),
+                    s.column("size"),
+                    blob.cast(pa.binary()),
+                    *_tails(words, starts, codes < 0, vocab),
+                ]
+                row += n
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "part", "size", "codes", "keys", "times"])
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select("doc_id", "text", part.alias("part"), size.alias("size"))
+    return settle(rows.mapInArrow(run, "row long, doc_id long, part int, size int, codes binary, keys array<long>, times array<long>"))
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of coded rows: the rows, the codes of all their tokens, the first token of each."""
+    for s in _slices(b):
+        blob = s.column("codes").cast(pa.large_binary())
+        cuts = np.frombuffer(blob.buffers()[1], np.int64)[blob.offset : blob.offset + len(blob) + 1]
+        codes = np.frombuffer(blob.buffers()[2], np.int32, int(cuts[-1] - cuts[0]) // 4, int(cuts[0]))
+        yield s, codes.astype(np.int64), (cuts[:-1] - cuts[0]) // 4
+
+
+def train(table: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
+    """Weights after one pass over the documents that teach of a ``coded`` table, in the rounds that it gives them."""
     model = Model(counts)
-    sc = docs.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64(F.lit("round"), "text"), F.lit(rounds))
-    keys = keys or sc.broadcast(counts.keys)
+    sc = table.sparkSession.sparkContext
     for r in range(rounds):
         start = sc.broadcast(model)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, vocab = start.value, vocabulary(keys.value)
+            m = start.value
             m0 = (m.top.copy(), m.inner.copy())
             m.top, m.inner = m0[0].copy(), m0[1].copy()
             seen = [np.zeros(m.top.size, np.float32), np.zeros(m.inner.size, np.float32)]
             rng, done = np.random.default_rng([r, 11]), 0
             for b in batches:
-                for s in _slices(b):
-                    ev = events(*_coded(raw(s, "text"), vocab)[:2])
-                    for i in range(0, len(ev["cls"]), CHUNK):
+                for _, codes, starts in _read(b):
+                    ev = events(codes, starts)
+                    for i in range(0, len(codes), CHUNK):
                         m.step({k: v[..., i : i + CHUNK] for k, v in ev.items()}, rng, seen)
-                    done += len(ev["cls"])
+                    done += len(codes)
             if done:
                 both = np.concatenate([(a - b).ravel() for a, b in zip((m.top, m.inner), m0)]).astype(np.float16)
                 cut = np.array_split(both, BLOCKS)
@@ -350,7 +446,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, keys: Broadcast
             w = total / np.maximum(there, 1)  # a mean over the tasks that moved the weight
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "w": [w.astype(np.float32).tobytes()]})
 
-        moved = docs.where(part == r).select("text").mapInArrow(run, "block int, w binary, n long")
+        moved = table.where(F.col("part") == r).select("size", "codes").mapInArrow(run, "block int, w binary, n long")
         got = moved.groupBy("block").applyInPandas(add, "block int, w binary").collect()  # BLOCKS rows, one model
         if got:
             both = np.concatenate([np.frombuffer(x.w, np.float32) for x in sorted(got, key=lambda x: x.block)])
@@ -372,46 +468,38 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     teach = docs.where(fold("doc_id", FOLDS) != HELD)
     table = settle(word_counts(teach))
     counts = Counts(table)
-    keys = sc.broadcast(counts.keys)
-    model = train(teach, counts, rounds, keys)
+    t = coded(docs, sc.broadcast(counts.keys), rounds)
+    model = train(t, counts, rounds)
     shipped = sc.broadcast((model, counts, model.sums(counts.head_end)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, c, sums = shipped.value
-        vocab, task, row = vocabulary(keys.value), TaskContext.get().partitionId(), 0
         head_log = np.log10(c.head_n + 0.5) if len(c.head_n) else np.zeros(0)
         rare_all = np.log10(c.rare_n + 0.5 * (c.rare_v + 1))
         for b in batches:
-            for s in _slices(b):
-                codes, starts, words = _coded(raw(s, "text"), vocab)
+            for s, codes, starts in _read(b):
                 place, rare = codes >> 8, (codes & 255) % RARE
                 ev = events(codes, starts)
                 head = place >= 0
                 own = np.zeros(len(codes))
                 own[head] = head_log[place[head]]
                 model_part = m.log10(ev, sums) + np.where(ev["known"], 0.0, np.where(head, own, 0.0) - rare_all[rare])
-                n = s.num_rows
-                tail_keys, times = _tails(words, starts, ~head, vocab)
                 cols = [
-                    pa.array((np.arange(n) + row) | (task << 40), pa.int64()),
-                    s.column("doc_id").cast(pa.int64()),
-                    pa.array([len(w) for w in words], pa.int64()),
+                    s.column("row"),
+                    s.column("doc_id"),
+                    pa.array(np.diff(np.r_[starts, len(codes)])),
                     pa.array(np.add.reduceat(head.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(own, starts)),
                     pa.array(np.add.reduceat(model_part, starts)),
-                    tail_keys,
-                    times,
                 ]
-                row += n
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_tokens", "head_known", "head_log", "model_log", "keys", "times"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_tokens", "head_known", "head_log", "model_log"])
 
-    schema = "row long, doc_id long, n_tokens long, head_known long, head_log double, model_log double, keys array<long>, times array<long>"
-    t = settle(docs.mapInArrow(run, schema))
+    scored = t.select("row", "doc_id", "size", "codes").mapInArrow(run, "row long, doc_id long, n_tokens long, head_known long, head_log double, model_log double")
     tail = t.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("k"))
     found = tail.join(table.select("key", "n"), "key", "left")
     c = F.coalesce("n", F.lit(0))
     per = found.groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("tail_known"), F.sum(F.col("k") * F.log10(c + 0.5)).alias("tail_log"))
-    j = t.drop("keys", "times").join(per, "row", "left").fillna(0, ["tail_known"]).fillna(0.0, ["tail_log"])
+    j = scored.join(per, "row", "left").fillna(0, ["tail_known"]).fillna(0.0, ["tail_log"])
     whole = float(np.log10(counts.n + 0.5 * (counts.kinds + 1)))
     return j.select(
         "doc_id",
