@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import maxent as M
@@ -181,3 +183,17 @@ def test_draws_are_those_of_the_running_sum():
     rows = rng.integers(0, 50, (2, 100))
     table, z = rng.normal(size=(50, 8)), rng.normal(size=(100, 8))
     assert np.allclose(M._times(np.exp(z), np.exp(table), rows), M._odds(z.copy(), table, rows))
+
+
+def test_tokens_keys_and_endings_by_slices_are_those_word_by_word():
+    rnd = random.Random(3)
+    bits = [b" ", b"\x0b", b"\x1c", b"\n", b"A", b"b", b"c", b"\xc3\x89", b"\xff", b".", b"(", b"'", b"\x00", b"\xc2\xa0", b"\x85"]
+    for _ in range(200):
+        texts = [None if rnd.random() < 0.1 else b"".join(rnd.choices(bits, k=rnd.randint(0, 30))) for _ in range(rnd.randint(1, 9))]
+        words, at, sizes = M.tokens(texts)
+        plain = words.to_pylist()
+        got = [[plain[i] for i in x] for x in np.split(at, np.cumsum(sizes)[:-1])]
+        assert got == [(t or b"").lower().split() + [M.END] for t in texts]
+        used = words.take(pa.array(np.unique(at)))
+        assert M.keys_of(used).tolist() == [M.key(w) for w in used.to_pylist()]
+        assert M.endings(used).tolist() == [xxhash.xxh32_intdigest(w.strip(b".,;:!?\"'()")[-3:] or w[-1:], 3) & 63 for w in used.to_pylist()]

@@ -13,19 +13,19 @@ the counts of the others are joined to the documents that hold them.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, compress, pairwise
+from itertools import pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.base import fold, lower, raw
+from tidemark.llm.base import fold, raw
 from tidemark.session import settle
 
 OUT, SLOTS, RARE = 4096, 64, 16
@@ -41,16 +41,30 @@ SAFE = 60.0  # scores whose exp neither overflows nor vanishes
 SPAN = 80.0  # scores less than this apart keep all their digits as products of odds
 SLICE = 1 << 20  # bytes of text worked on at a time, or one text
 FOLDS, HELD = 5, 1  # documents with crc32(doc_id) mod 5 = 1 teach nothing
+PUNCTUATION = ".,;:!?\"'()"
 END = b"\n"  # no word can hold it
-FLUSH = 1 << 19  # different words a counting task holds before it passes them on
 BLOCKS = 64  # parts in which weights are averaged
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Lower-cased words, then one end."""
-    w = lower(text).split()
-    w.append(END)
-    return w
+def tokens(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lower-cased words, then one end, of every text: the different words, each token's place among them, and how many
+    tokens each text has. The first of the words is the end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())))
+    found = parts.flatten().dictionary_encode()
+    words = pa.concat_arrays([pa.array([END], pa.binary()), found.dictionary.view(pa.binary())])
+    at = found.indices.to_numpy() + np.int64(1)
+    full = (pc.binary_length(found.dictionary).to_numpy() > 0)[at - 1]  # there is an empty one beside blanks at a border
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())[full], minlength=len(texts)) + 1
+    word = np.ones(int(sizes.sum()), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out = np.zeros(len(word), np.int64)
+    out[word] = at[full]
+    return words, out, sizes
+
+
+def keys_of(words: pa.Array) -> np.ndarray:
+    """``key`` of each."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False), repeat(7)), np.uint64, len(words)).view(np.int64)
 
 
 def key(word: bytes) -> int:
@@ -59,45 +73,29 @@ def key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class Endings(dict):
-    """Last bytes of a word: their number, 0 to 63."""
-
-    def __missing__(self, last: bytes) -> int:
-        if len(self) >= FLUSH:
-            self.clear()
-        got = self[last] = xxhash.xxh32_intdigest(last, 3) & 63
-        return got
-
-
-_endings = Endings()
+def endings(words: pa.Array) -> np.ndarray:
+    """0 to 63, by the last three bytes of each word without punctuation."""
+    last = pc.binary_slice(pc.ascii_trim(words.view(pa.string()), PUNCTUATION).view(pa.binary()), -3, None)
+    last = pc.if_else(pc.equal(pc.binary_length(last), 0), pc.binary_slice(words, -1, None), last).dictionary_encode()
+    return np.array([xxhash.xxh32_intdigest(x, 3) & 63 for x in last.dictionary.to_pylist()], np.int64)[last.indices.to_numpy()]
 
 
-def ending(word: bytes) -> int:
-    """0 to 63, by the last three bytes without punctuation."""
-    return _endings[word.strip(b".,;:!?\"'()")[-3:] or word[-1:]]
+def _size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, ending, n): how often each token stands in the texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-
-        def out():
-            words = list(c)
-            cols = [pa.array([key(w) for w in words], pa.int64()), pa.array([ending(w) for w in words], pa.int32()), pa.array([c[w] for w in words], pa.int64())]
-            c.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["key", "ending", "n"])
-
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                for t in raw(b.slice(i, 64), "text"):
-                    c.update(tokens(t))
-                if len(c) > FLUSH:
-                    yield out()
-        yield out()
-
-    rows = docs.select("text").mapInArrow(run, "key long, ending int, n long")
+            for s in _slices(b):
+                words, at, _ = tokens(raw(s, "text"))
+                n = np.bincount(at, minlength=len(words))
+                words, n = words.filter(pa.array(n > 0)), n[n > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(words)), pa.array(endings(words), pa.int32()), pa.array(n)], names=["key", "ending", "n"])
+
+    rows = docs.select("text", _size()).mapInArrow(run, "key long, ending int, n long")
     return rows.groupBy("key", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -134,26 +132,23 @@ class Keys(dict):
         return key(w)
 
 
-class Vocabulary(dict):
-    """word: (place in the head, or -1) * 256 + ending."""
+class Vocabulary:
+    """Places of keys in the head."""
 
     def __init__(self, keys: np.ndarray):
-        self.place = dict(zip(keys.tolist(), range(len(keys))))
-        self.tail, self.keys_of = Keys(), keys
+        self.place = np.argsort(keys)
+        self.sorted, self.tail, self.keys_of = keys[self.place], Keys(), keys
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= HEAD:
-            self.clear()
-            self.tail.clear()
-        k = key(w)
-        at = self.place.get(k, -1)
-        if at < 0:
-            self.tail[w] = k
-        got = self[w] = at << 8 | ending(w)
-        return got
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """Words: (place in the head, or -1) * 256 + ending."""
+        keys, place = keys_of(words), np.full(len(words), -1)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+            place = np.where(self.sorted[at] == keys, self.place[at], -1)
+        return place << 8 | endings(words)
 
 
-_held: list[Vocabulary] = []  # of this Python worker: tasks of one model go on from the words that earlier ones met
+_held: list[Vocabulary] = []  # of this Python worker: tasks of one model go on from what earlier ones sorted
 
 
 def vocabulary(keys: np.ndarray) -> Vocabulary:
@@ -344,16 +339,15 @@ def _share(odds: np.ndarray, of: np.ndarray) -> np.ndarray:
     return odds[np.arange(len(of)), of].astype(float) / (odds @ np.ones(odds.shape[1], odds.dtype))
 
 
-def _coded(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    words = [tokens(t) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.fromiter(map(vocab.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-    return codes, np.r_[0, np.cumsum(sizes)[:-1]], words
+def _coded(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    words, at, sizes = tokens(texts)
+    return vocab.codes(words)[at], np.cumsum(sizes) - sizes, [words.to_numpy(zero_copy_only=False)[at]]
 
 
-def _tails(words: list[list[bytes]], starts: np.ndarray, tail: np.ndarray, vocab: Vocabulary) -> tuple[pa.Array, pa.Array]:
+def _tails(words: list, starts: np.ndarray, tail: np.ndarray, vocab: Vocabulary) -> tuple[pa.Array, pa.Array]:
     """For every text the different keys of its words outside the head, and how often each stands there."""
-    keys = np.fromiter(map(vocab.tail.__getitem__, compress(chain.from_iterable(words), tail.tolist())), np.int64, int(tail.sum()))
+    outside = np.concatenate([np.asarray(w, object) for w in words])[tail]
+    keys = np.fromiter(map(vocab.tail.__getitem__, outside), np.int64, len(outside))
     text = np.searchsorted(starts, np.flatnonzero(tail), side="right") - 1
     order = np.lexsort((keys, text))
     keys, text = keys[order], text[order]
@@ -399,8 +393,7 @@ def coded(docs: DataFrame, keys: Broadcast, rounds: int = ROUNDS) -> DataFrame:
                 row += n
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "part", "size", "codes", "keys", "times"])
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = docs.select("doc_id", "text", part.alias("part"), size.alias("size"))
+    rows = docs.select("doc_id", "text", part.alias("part"), _size())
     return settle(rows.mapInArrow(run, "row long, doc_id long, part int, size int, codes binary, keys array<long>, times array<long>"))
 
 
