@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -70,18 +71,33 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _written: list[str] = []  # tables that settle has written and nobody has taken over, newest last
 
 
-def settle(df):
+def settle(df, **options):
     """Compute ``df`` once: write it to the shared folder and go on from the written table.
 
     This cuts the lineage, survives lost executors, and gives the planner the table's true size: a
     later join broadcasts it only if it is really below ``spark.sql.autoBroadcastJoinThreshold``.
+    ``options`` are those of the Parquet writer.
     """
     path = fresh_dir(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Meanwhile Spark removes the shuffle files of a job when it ends, not when the driver happens to collect garbage."""
+    was = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, was)
+
+
 def written_since(mark: int) -> list[str]:
     """Folders that ``settle`` has written since it had written ``mark`` (see ``mark``)."""
     return _written[mark:]
