@@ -25,6 +25,7 @@ SHARD = 16384  # distinct vectors of a shard
 BLOCK = 4096  # queries of a block
 EVERY = 50  # vec_ids divisible by this are queries
 NEAREST = 5
+ROUNDING = 1e-9  # more than two ways of summing a cosine differ by
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,24 +66,23 @@ def nearest_pivots(u: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
 
 
 class Shard:
-    """Inverted files over some vectors: for each pivot the vectors that list it and its place in their lists."""
+    """Inverted files over some vectors: for each pivot a row with what each vector's place of it is worth, k at the first
+    place, 0 for vectors that do not list it. A vector lists half of the pivots, so whole rows are added up faster than
+    the listed vectors alone, which stand apart."""
 
     def __init__(self, lists: np.ndarray, pivots: int):
         self.n, self.k = lists.shape
-        flat = lists.ravel().astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.rows = (order // self.k).astype(np.int32)
-        self.place = (order % self.k).astype(np.int32)
-        self.ends = np.searchsorted(flat[order], np.arange(pivots + 1))
+        self.worth = self.k - np.arange(self.k, dtype=np.int32)
+        self.files = np.zeros((pivots, self.n), np.int32)
+        self.files[lists, np.arange(self.n)[:, None]] = self.worth
 
     def gains(self, mine: np.ndarray) -> np.ndarray:
         """What shared pivots take off the footrule distance, by vector. With lists of length k and k as the place of
         a pivot that is not listed, a pivot at places i and j counts (k - i) + (k - j) - |i - j| = 2 (k - max(i, j))."""
         out = np.zeros(self.n, np.int32)
-        for i, p in enumerate(mine):
-            at = slice(self.ends[p], self.ends[p + 1])
-            out[self.rows[at]] += 2 * (self.k - np.maximum(self.place[at], i))
-        return out
+        for p, worth in zip(mine, self.worth):
+            out += np.minimum(self.files[p], worth)
+        return 2 * out
 
 
 def cosines(u: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -90,6 +90,21 @@ def cosines(u: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip((u * q).sum(axis=1), -1.0, 1.0)
 
 
+def nearest_rows(u: np.ndarray, rows: np.ndarray, firsts: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` of ``rows`` nearest to q with their cosines, nearest first, ties to the smaller of ``firsts``.
+
+    A product of the matrix finds them up to rounding; only what is that close is summed in the fixed order and sorted.
+    """
+    near = u[rows]
+    if len(rows) > n:
+        about = near @ q
+        close = np.flatnonzero(about >= np.partition(about, len(rows) - n)[len(rows) - n] - ROUNDING)
+        rows, near = rows[close], near[close]
+    score = cosines(near, q)
+    top = np.lexsort((firsts[rows], -score))[:n]
+    return rows[top], score[top]
+
+
 def distinct_vectors(good: DataFrame, copies: int) -> DataFrame:
     """(vec_id, embedding, ids): one row per distinct vector with its ``copies`` smallest ids.
 
@@ -147,9 +162,7 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, pivot
                 gain = files.gains(near)
                 cut = np.partition(gain, len(u) - want)[len(u) - want]
                 rows = np.flatnonzero(gain >= cut)
-                score = cosines(u[rows], own)
-                top = np.lexsort((firsts[rows], -score))[: nearest + 1]
-                found = [(-score[i], v) for i in top for v in ids[rows[i]] if v != q]
+                found = [(-s, v) for i, s in zip(*nearest_rows(u, rows, firsts, own, nearest + 1)) for v in ids[i] if v != q]
                 out += [(q, int(v), -s) for s, v in sorted(found)[:nearest]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
